@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import knn
+from skeinwork.llm import knn, neardup
 from skeinwork.session import read
 
 #: Dimension of the embeddings.
@@ -25,8 +25,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _long_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = read(spark, sf_dir, "claims").where(F.length("object_value") >= 60)
+    return claims.select("id", neardup.words(F.col("subject"), F.col("predicate"), F.col("object_value")).alias("words"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of claims with a long object_value whose words agree to 0.6 or more."""
+    return neardup.expand(*neardup.similar(_long_claims(spark, sf_dir)))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim with a long object_value, its class of equal words, its group and its class's number of links."""
+    classes, links = neardup.similar(_long_claims(spark, sf_dir))
+    return neardup.grouped(classes, links)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
