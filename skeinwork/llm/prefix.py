@@ -1,0 +1,24 @@
+"""Running sums and numbers within groups that may hold a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def running_sum(df: DataFrame, group: list[str], slot: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of the group up to and with this one.
+
+    `slot` cuts a group into ranges that do not overlap in the order given; slots are summed first (combined before the
+    shuffle), the few slot totals are accumulated per group, and the fine order is settled within each slot alone. No task
+    holds more than one slot of a group.
+    """
+    rows = df.withColumn("_slot", slot).withColumn("_value", value)
+    totals = rows.groupBy(*group, "_slot").agg(F.sum("_value").alias("_total"))
+    sums = F.sum("_total").over(Window.partitionBy(*group).orderBy("_slot")) - F.col("_total")
+    before = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_slot").alias("_s"), sums.alias("_before"))
+    within = F.sum("_value").over(Window.partitionBy(*group, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_slot").eqNullSafe(F.col("_s"))
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(before, same).withColumn(name, F.col("_before") + within).select(*df.columns, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import knn, neardup
+from skeinwork.llm import knn, mixing, neardup, packing, split, threads, tokens
 from skeinwork.session import read
 
 #: Dimension of the embeddings.
@@ -25,6 +25,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that had to be split."""
+    return p2_pieces(spark, sf_dir).select("segment_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every segment over the limit."""
+    return split.split(read(spark, sf_dir, "segment_requests"), "segment_id", "messages").withColumnRenamed("id", "segment_id")
+
+
 def _long_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = read(spark, sf_dir, "claims").where(F.length("object_value") >= 60)
     return claims.select("id", neardup.words(F.col("subject"), F.col("predicate"), F.col("object_value")).alias("words"))
@@ -41,9 +51,71 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(classes, links)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of whole sessions in order."""
+    return threads.whole_sessions(read(spark, sf_dir, "chat_messages")).select("session_id", "turn_no", "message_id")
+
+
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parent of every reply: the recorded one, else the likeliest."""
+    return threads.links(read(spark, sf_dir, "chat_messages"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(read(spark, sf_dir, "documents"), "doc_id", "text", {"source": "source"})
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of each document."""
+    return packing.fill(_sized(spark, sf_dir))
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of capacity used."""
+    return packing.usage(p8_containers(spark, sf_dir))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture in order."""
+    return mixing.mixture(_sized(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share each source really has."""
+    return mixing.shares(p9_mixture(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+
+
+_NAMES = (
+    p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p4_groups, p7_found, p7_links, p8_containers, p8_usage, p9_mixture, p9_shares,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {f.__name__: f for f in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
+
+
+SQL = {
+    "p2_found": """
+SELECT segment_id FROM (SELECT DISTINCT segment_id, messages FROM segment_requests WHERE segment_id IS NOT NULL)
+WHERE list_sum(list_transform(messages, m -> length(coalesce(m.text, '')) + length(regexp_replace(coalesce(m.text, ''), '[\\x{0}-\\x{ffff}]', '', 'g')))) > 20000
+GROUP BY segment_id
+""",
+    "p7_found": """
+WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY time_updated DESC) AS rn FROM chat_messages) WHERE rn = 1),
+m AS (SELECT message_id, session_id, lower(trim(coalesce(role, ''))) AS role, parent_id, time_created AS at,
+             (error_name IS NULL OR error_name = 'MessageAbortedError')
+             AND len(list_filter(parts, p -> p.type = 'text' AND NOT coalesce(p.ignored, false) AND regexp_matches(coalesce(p.text, ''), '[^\\s]'))) > 0 AS speaks
+      FROM latest),
+r AS (SELECT a.*, u.message_id AS parent, u.at AS asked FROM m a LEFT JOIN m u ON u.message_id = a.parent_id AND u.session_id = a.session_id AND u.role = 'user' AND a.role = 'assistant'),
+n AS (SELECT parent, count(*) AS answers FROM r WHERE parent IS NOT NULL AND speaks GROUP BY parent),
+j AS (SELECT r.*, n.answers FROM r LEFT JOIN n ON n.parent = r.message_id),
+kept AS (SELECT session_id FROM j GROUP BY session_id
+         HAVING bool_and(role IN ('user', 'assistant') AND CASE WHEN role = 'assistant' THEN parent IS NOT NULL ELSE speaks AND answers IS NOT NULL END))
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(asked, at), coalesce(parent, message_id), role = 'assistant', at, message_id)::INT AS turn_no, message_id
+FROM j WHERE speaks AND session_id IN (SELECT session_id FROM kept)
+""",
+}
