@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
