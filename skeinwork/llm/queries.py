@@ -101,21 +101,21 @@ def oracle_sql() -> dict[str, str]:
 SQL = {
     "p2_found": """
 SELECT segment_id FROM (SELECT DISTINCT segment_id, messages FROM segment_requests WHERE segment_id IS NOT NULL)
-WHERE list_sum(list_transform(messages, m -> length(coalesce(m.text, '')) + length(regexp_replace(coalesce(m.text, ''), '[\\x{0}-\\x{ffff}]', '', 'g')))) > 20000
+WHERE list_sum(list_transform(messages, lambda m: length(coalesce(m.text, '')) + length(regexp_replace(coalesce(m.text, ''), '[\\x{0}-\\x{ffff}]', '', 'g')))) > 20000
 GROUP BY segment_id
 """,
     "p7_found": """
 WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY time_updated DESC) AS rn FROM chat_messages) WHERE rn = 1),
-m AS (SELECT message_id, session_id, lower(trim(coalesce(role, ''))) AS role, parent_id, time_created AS at,
+m AS (SELECT message_id, session_id, lower(trim(coalesce(role, ''))) AS role, parent_id, time_created AS made,
              (error_name IS NULL OR error_name = 'MessageAbortedError')
-             AND len(list_filter(parts, p -> p.type = 'text' AND NOT coalesce(p.ignored, false) AND regexp_matches(coalesce(p.text, ''), '[^\\s]'))) > 0 AS speaks
+             AND len(list_filter(parts, lambda p: p.type = 'text' AND NOT coalesce(p.ignored, false) AND regexp_matches(coalesce(p.text, ''), '[^\\s]'))) > 0 AS speaks
       FROM latest),
-r AS (SELECT a.*, u.message_id AS parent, u.at AS asked FROM m a LEFT JOIN m u ON u.message_id = a.parent_id AND u.session_id = a.session_id AND u.role = 'user' AND a.role = 'assistant'),
+r AS (SELECT a.*, u.message_id AS parent, u.made AS asked FROM m a LEFT JOIN m u ON u.message_id = a.parent_id AND u.session_id = a.session_id AND u.role = 'user' AND a.role = 'assistant'),
 n AS (SELECT parent, count(*) AS answers FROM r WHERE parent IS NOT NULL AND speaks GROUP BY parent),
 j AS (SELECT r.*, n.answers FROM r LEFT JOIN n ON n.parent = r.message_id),
 kept AS (SELECT session_id FROM j GROUP BY session_id
          HAVING bool_and(role IN ('user', 'assistant') AND CASE WHEN role = 'assistant' THEN parent IS NOT NULL ELSE speaks AND answers IS NOT NULL END))
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(asked, at), coalesce(parent, message_id), role = 'assistant', at, message_id)::INT AS turn_no, message_id
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(asked, made), coalesce(parent, message_id), role = 'assistant', made, message_id)::INT AS turn_no, message_id
 FROM j WHERE speaks AND session_id IN (SELECT session_id FROM kept)
 """,
 }
