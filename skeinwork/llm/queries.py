@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import knn, mixing, neardup, packing, split, threads, tokens
+from skeinwork.llm import knn, language, mixing, names, neardup, packing, split, threads, tokens
 from skeinwork.session import read
 
 #: Dimension of the embeddings.
@@ -51,6 +51,11 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(classes, links)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity that each mention's text names."""
+    return names.link(read(spark, sf_dir, "mentions"), read(spark, sf_dir, "entity_candidates")).select("mention_key", "entity_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of whole sessions in order."""
     return threads.whole_sessions(read(spark, sf_dir, "chat_messages")).select("session_id", "turn_no", "message_id")
@@ -85,8 +90,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
 
 
+def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    return language.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lang_samples"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of documents whose label is missing or wrong, or that mix languages."""
+    return language.mislabelled(p10_stretches(spark, sf_dir)).select("doc_id", "segment_no", "lang_code")
+
+
 _NAMES = (
-    p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p4_groups, p7_found, p7_links, p8_containers, p8_usage, p9_mixture, p9_shares,
+    p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p4_groups, p6_found, p7_found, p7_links, p8_containers, p8_usage, p9_mixture, p9_shares, p10_found, p10_stretches,
 )
 
 
