@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import knn, language, mixing, names, neardup, packing, split, threads, tokens
+from skeinwork.llm import knn, language, mixing, names, neardup, packing, pii, split, threads, tokens
 from skeinwork.session import read
 
 #: Dimension of the embeddings.
@@ -35,6 +35,17 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split(read(spark, sf_dir, "segment_requests"), "segment_id", "messages").withColumnRenamed("id", "segment_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal items in the texts of all messages."""
+    return pii.found(read(spark, sf_dir, "segment_requests")).select(F.col("id").alias("segment_id"), "message_no", "pii_type", "pii_text").distinct()
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with placeholders in place of personal items."""
+    requests = read(spark, sf_dir, "segment_requests")
+    return pii.masked(requests, pii.found(requests)).withColumnRenamed("id", "segment_id")
+
+
 def _long_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = read(spark, sf_dir, "claims").where(F.length("object_value") >= 60)
     return claims.select("id", neardup.words(F.col("subject"), F.col("predicate"), F.col("object_value")).alias("words"))
@@ -101,7 +112,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    p1_found, p1_neighbours, p2_found, p2_pieces, p4_found, p4_groups, p6_found, p7_found, p7_links, p8_containers, p8_usage, p9_mixture, p9_shares, p10_found, p10_stretches,
+    p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_masked, p4_found, p4_groups, p6_found, p7_found, p7_links, p8_containers, p8_usage, p9_mixture, p9_shares, p10_found, p10_stretches,
 )
 
 
