@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import changes
+from skeinwork.plans import changes, recalls
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "recall_grouped_topk"
 
-_MODULES = (changes,)
+_MODULES = (changes, recalls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
