@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What separates words: Unicode white space and the four ASCII information separators.
 _SPACE = "(?U)[\\s\\x{1c}-\\x{1f}]+"
@@ -39,7 +40,7 @@ def normalize_name(text: Column) -> Column:
     return collapse(F.replace(folded, F.lit("ß"), F.lit("ss")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_name_exact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(t.casefold().split()))
 
@@ -92,7 +93,7 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(common / F.nullif(F.size(a) + F.size(b) - common, F.lit(0)), F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(text: pd.Series) -> pd.Series:
     """The first JSON value of a text as compact JSON, whatever follows it; null if it does not begin with one."""
     def one(t: str | None) -> str | None:
@@ -114,7 +115,7 @@ def _sanitized(value: object, depth: int = 0) -> object:
     return {k: _sanitized(v, depth + 1) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitized_json(text: pd.Series) -> pd.Series:
     """JSON without data URLs and without what lies deeper than eight levels."""
     return text.map(lambda t: None if t is None else json.dumps(_sanitized(json.loads(t)), separators=(",", ":"), ensure_ascii=False))

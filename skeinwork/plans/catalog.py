@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import changes, recalls
+from skeinwork.plans import changes, conversations, recalls
 
 FLAGSHIP = "recall_grouped_topk"
 
-_MODULES = (changes, recalls)
+_MODULES = (changes, recalls, conversations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
