@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.prefix import running_sum
+from skeinwork.operators.prefix import running_sum
 from skeinwork.session import small
 
 #: Hash ranges a pass over a source is cut into.
