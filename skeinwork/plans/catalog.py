@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import changes, conversations, recalls
+from skeinwork.plans import changes, conversations, recalls, tables
 
 FLAGSHIP = "recall_grouped_topk"
 
-_MODULES = (changes, recalls, conversations)
+_MODULES = (changes, recalls, conversations, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
