@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import changes, conversations, recalls, tables
+from skeinwork.plans import changes, conversations, recalls, streams, tables
 
 FLAGSHIP = "recall_grouped_topk"
 
-_MODULES = (changes, recalls, conversations, tables)
+_MODULES = (changes, recalls, conversations, tables, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +18,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _MODULES for k, v in m.SQL.items()}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()} | {"stream_change_fold": changes.SQL["p5_found"]}
