@@ -18,12 +18,13 @@ extraction, since candidates are used in every round.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.session import cut
@@ -212,20 +213,42 @@ def found(df: DataFrame, id_col: str = "segment_id", messages_col: str = "messag
     for k in key:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     hits = spans.alias("a").join(seen.join(judged, "no").alias("b"), same).select("a.id", "a.message_no", "a.start", "a.end", F.col("a.item").alias("pii_text"), F.col("b.type").alias("pii_type"), F.col("b.score").alias("score"), F.col("b.known").alias("known"))
-    # the spans of one message are few; they are settled message by message
-    return hits.groupBy("id", "message_no").applyInPandas(_settle, "id string, message_no int, start int, end int, pii_type string, pii_text string, score double")
-
-
-def _settle(pdf):
-    """The best of overlapping spans: typed forms before persons, known shapes before others, longer before shorter."""
-    pdf = pdf.assign(rank=pdf["pii_type"].eq("person").astype(int), size=pdf["start"] - pdf["end"], least=-pdf["known"].round(1).where(pdf["pii_type"].isin(["phone", "id_number"]), 1.0))
-    taken: list[tuple[int, int]] = []
-    keep = []
-    for row in pdf.sort_values(["rank", "least", "size", "start", "pii_type"]).itertuples():
-        if not any(a < row.end and row.start < b for a, b in taken):
-            taken.append((row.start, row.end))
-            keep.append(row.Index)
-    return pdf.loc[keep, ["id", "message_no", "start", "end", "pii_type", "pii_text", "score"]]
+    together = hits.repartition("id", "message_no").sortWithinPartitions("id", "message_no")
+    return together.mapInArrow(_settle, "id string, message_no int, start int, end int, pii_type string, pii_text string, score double")
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of overlapping spans the best: typed forms before persons, known shapes before others, longer before shorter.
+
+    Reads spans sorted by message and holds those of one message at a time.
+    """
+    schema = pa.schema([("id", pa.string()), ("message_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string()), ("score", pa.float64())])
+
+    def best(rows: list[dict]) -> list[dict]:
+        def order(r: dict) -> tuple:
+            number = r["pii_type"] in ("phone", "id_number")
+            return r["pii_type"] == "person", -round(r["known"], 1) if number else -1.0, r["start"] - r["end"], r["start"], r["pii_type"]
+
+        taken: list[tuple[int, int]] = []
+        keep = []
+        for r in sorted(rows, key=order):
+            at = bisect.bisect(taken, (r["start"], r["end"]))
+            if (at == 0 or taken[at - 1][1] <= r["start"]) and (at == len(taken) or r["end"] <= taken[at][0]):
+                taken.insert(at, (r["start"], r["end"]))
+                keep.append({k: r[k] for k in schema.names})
+        return keep
+
+    held: list[dict] = []
+    for batch in batches:
+        out: list[dict] = []
+        for r in batch.to_pylist():
+            if held and (r["id"], r["message_no"]) != (held[0]["id"], held[0]["message_no"]):
+                out += best(held)
+                held = []
+            held.append(r)
+        yield pa.RecordBatch.from_pylist(out, schema)
+    if held:
+        yield pa.RecordBatch.from_pylist(best(held), schema)
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
