@@ -32,6 +32,9 @@ LIMIT = 0.7
 LEGAL = frozenset("gmbh ag inc ltd llc bv sa nv plc co corp kg se oy ab as srl spa limited incorporated corporation gesellschaft mbh aktiengesellschaft besloten vennootschap naamloze societe anonyme sociedad anonima sociedade company".split())
 TITLES = frozenset("dr mr mrs ms mx miss prof professor sir herr frau mme m. the our team people folks from by of".split())
 KINDS = frozenset("vendor customer partner company firm product engine platform service tool app gateway console".split())
+SECTORS = frozenset("software systems data works media foods research analytics energy logistics instruments industries solutions services group holding labs technologies consulting".split())
+#: A token that at most so many entities share is distinctive, even if another of the name is rarer.
+RARE = 3
 #: Public nicknames; each line is one name and short forms of it.
 NICKNAMES = """alexander alex sasha
 aleksandra ola sasha
@@ -92,7 +95,7 @@ def cut(text: str) -> list[tuple[str, bool]]:
     words: list[tuple[str, bool]] = []
     for m in re.finditer(r"[^\W_]+(?:['’][^\W\d_]+)?(\.(?=\s|,|$))?", text):
         raw, dot = m[0].rstrip("."), bool(m[1])
-        glued = re.findall(r"[^\W\d_a-zà-öø-ÿ]?[a-zà-öø-ÿ]+|[^\W_]+", raw) if re.search(r"[a-zà-öø-ÿ][A-ZÀ-ÖØ-Þ]", raw) else [raw]
+        glued = re.findall(r"[^\W\d_a-zà-öø-ÿ]?[a-zà-öø-ÿ]+|[^\W_]+", raw) if re.search(r"[a-zà-öø-ÿ]{2}[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]", raw) else [raw]
         words += [(w.casefold(), dot and i == len(glued) - 1) for i, w in enumerate(glued)]
     return words
 
@@ -132,7 +135,7 @@ def _fit(word: str, short: bool, token: str, forms: frozenset[str]) -> float | N
         return 0.2 if t[0] == w else None
     if short and 2 <= len(w) < len(t) and t.startswith(w):
         return 0.15
-    if len(w) >= 4 and len(t) >= 4 and (d := distance(w, t, 1)) <= 1:
+    if min(len(w), len(t)) >= (3 if w[0] == t[0] else 4) and (d := distance(w, t, 1)) <= 1:
         return 0.3 * d
     return None
 
@@ -152,10 +155,15 @@ def align(words: list[tuple[str, bool]], name: list[str], forms: list[frozenset[
     for word, short in words:
         after: dict[tuple[int, bool], float] = {}
         extra = spare(word)
-        fits = [(j, c) for j in range(n) if (c := _fit(word, short, name[j], forms[j])) is not None]
+        full = len(word) > 1
+        fits = [(1 << j, c, rare[j] and full and not (short and c == 0.15)) for j in range(n) if (c := _fit(word, short, name[j], forms[j])) is not None]
+        # two words of the name written as one
+        for j in range(n - 1):
+            if len(word) > max(5, len(name[j])) and (c := _fit(word, False, name[j] + name[j + 1], frozenset())) is not None:
+                fits.append((3 << j, c + 0.05, rare[j] or rare[j + 1]))
         for (used, met), cost in best.items():
             options = [((used, met), cost + extra)]
-            options += [((used | 1 << j, met or (rare[j] and len(word) > 1 and not (short and c == 0.15))), cost + c) for j, c in fits if not used >> j & 1]
+            options += [((used | mask, met or tells), cost + c) for mask, c, tells in fits if not used & mask]
             for key, value in options:
                 if value <= LIMIT + 1 and value < after.get(key, 9.0):
                     after[key] = value
@@ -237,8 +245,13 @@ def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key",
     public = spark.createDataFrame([(f, n) for line in NICKNAMES.splitlines() for f, *ns in [line.split()] for n in ns], "full string, nick string")
     pairs = learned.unionByName(public)
     forms = pairs.unionByName(pairs.select(F.col("nick").alias("full"), F.col("full").alias("nick"))).groupBy("full").agg(F.collect_set("nick").alias("forms"))
-    least = F.min(F.when(F.length("folded") > 1, F.when(F.col("folded").isin(*LEGAL, *KINDS), None).otherwise(F.col("df")))).over(Window.partitionBy("id", "name"))
-    rated = tokens.join(frequency, "folded").join(forms, F.col("folded") == F.col("full"), "left").withColumn("rare", F.coalesce((F.col("df") == least) & (F.length("folded") > 1), F.lit(False)))
+    # distinctive are the rarest tokens, given names and words of kind, sector and law aside if there is any other
+    telling = F.col("full").isNull() & (F.length("folded") > 1) & ~F.col("folded").isin(*LEGAL, *KINDS, *SECTORS, *TITLES)
+    each = Window.partitionBy("id", "name")
+    known = tokens.join(frequency, "folded").join(forms, F.col("folded") == F.col("full"), "left").withColumn("telling", telling)
+    least = known.withColumn("least", F.min(F.when(F.col("telling"), F.col("df"))).over(each)).withColumn("any", F.min(F.when(F.length("folded") > 1, F.col("df"))).over(each))
+    rare = F.when(F.col("least").isNotNull(), F.col("telling") & (F.col("df") <= F.greatest(F.col("least"), F.lit(RARE)))).otherwise((F.length("folded") > 1) & (F.col("df") == F.col("any")))
+    rated = least.withColumn("rare", F.coalesce(rare, F.lit(False))).select("id", "name", "place", "token", "folded", "forms", "rare")
     names = rated.groupBy("id", "name").agg(F.collect_list(F.struct("place", "token", "forms", "rare")).alias("tokens"))
     shorter = F.expr("transform(sequence(1, length(folded)), i -> concat(substr(folded, 1, i - 1), substr(folded, i + 1)))")
     keys = F.when(F.length("folded") >= 4, F.concat(F.array("folded"), shorter)).otherwise(F.array("folded"))
