@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import changes, conversations, recalls, streams, tables
+from skeinwork.plans import changes, conversations, pipelines, recalls, streams, tables
 
 FLAGSHIP = "recall_grouped_topk"
 
-_MODULES = (changes, recalls, conversations, tables, streams)
+_MODULES = (changes, recalls, conversations, tables, streams, pipelines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
