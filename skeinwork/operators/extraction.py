@@ -73,7 +73,7 @@ def embedded(df: DataFrame, column: str, embedder: Embedder = hashed_grams, name
 
 def proposed(requests: DataFrame, extractor: Extractor = rules) -> DataFrame:
     """(segment_id, index, claim columns): what the extractor proposes for each segment, in order, at most CLAIMS of it."""
-    joined = requests.where("segment_id is not null").select("segment_id", F.array_join("messages.text", "\n", "").alias("t")).groupBy("segment_id").agg(F.max("t").alias("t"))
+    joined = requests.where("segment_id is not null").select("segment_id", F.coalesce(F.array_join("messages.text", "\n", ""), F.lit("")).alias("t")).groupBy("segment_id").agg(F.max("t").alias("t"))
     schema = "segment_id string, index int, subject string, predicate string, confidence double, object_entity string, object_value string"
     arrow = pa.schema([("segment_id", pa.string()), ("index", pa.int32()), ("subject", pa.string()), ("predicate", pa.string()), ("confidence", pa.float64()), ("object_entity", pa.string()), ("object_value", pa.string())])
 

@@ -30,12 +30,12 @@ def upsert(base: DataFrame, updates: DataFrame, key: list[str], keep: tuple[str,
 
 def replace_partitions(base: DataFrame, fresh: DataFrame, partition: str) -> DataFrame:
     """base with every partition that occurs in fresh replaced by its rows there."""
-    return base.join(small(fresh.select(partition).distinct()), partition, "left_anti").unionByName(fresh.select(*base.columns))
+    return base.join(small(fresh.select(partition).distinct()), partition, "left_anti").select(*base.columns).unionByName(fresh.select(*base.columns))
 
 
 def delete(base: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     """base without the rows whose key is in gone."""
-    return base.join(small(gone.select(*key).distinct()), key, "left_anti")
+    return base.join(small(gone.select(*key).distinct()), key, "left_anti").select(*base.columns)
 
 
 def cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

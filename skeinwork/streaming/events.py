@@ -13,21 +13,26 @@ from skeinwork.sources.snapshots import Snapshots
 GAP, LATE = "10 minutes", "1 hour"
 
 
+def timed(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark; times without a zone, which watermarks do not take, are read as UTC. Batches stay as they are."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def sessions(events: DataFrame, key: str, at: str, gap: str = GAP, late: str = LATE) -> DataFrame:
     """(key, start, end, events): runs of a key's events with no gap of `gap` or more; end is the gap after the last event."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
-    return rows.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    rows, kind_of = timed(events, at, late), events.schema[at].dataType
+    return rows.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.start").cast(kind_of).alias("start"), F.col("w.end").cast(kind_of).alias("end"), "events")
 
 
 def windows(events: DataFrame, kind: str, at: str, value: str, size: str, slide: str | None = None, late: str = LATE) -> DataFrame:
     """(start, kind, events, total) of tumbling or sliding windows."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
-    return rows.groupBy(F.window(at, size, slide or size).alias("w"), kind).agg(F.count("*").alias("events"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "events", "total")
+    rows, kind_of = timed(events, at, late), events.schema[at].dataType
+    return rows.groupBy(F.window(at, size, slide or size).alias("w"), kind).agg(F.count("*").alias("events"), F.sum(value).alias("total")).select(F.col("w.start").cast(kind_of).alias("start"), kind, "events", "total")
 
 
 def once(events: DataFrame, key: list[str], at: str, late: str = LATE) -> DataFrame:
     """One event per key; in a stream among those that come within the time events may be late."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
+    return timed(events, at, late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
 def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
