@@ -53,3 +53,9 @@ def plan_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a side for broadcast if its estimated size is within the limit; beyond it the join shuffles."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows ahead of a costly pass in Python, dealt to all cores where the scan has fewer partitions than that; no shuffle otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
