@@ -14,6 +14,7 @@ characters); documents are all classified, in whole.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 import zlib
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.session import spread
+
 ROWS, DIMS = 1_200, 1 << 13
 #: Labelled documents the second fit draws sentences from, and the longest of them in characters.
 DOCS, DOC_CHARS = 2_000, 4_000
@@ -121,32 +124,46 @@ class Model:
     pairs: list[tuple[str, str]]
     weights: np.ndarray
     offsets: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    place: dict[str, int] = field(default_factory=dict)
+    known: np.ndarray | None = None
 
     def scores(self, text: str) -> tuple[np.ndarray, int]:
         """The machines' margins and the number of words they rest on."""
         ws = words(text)
-        total = np.zeros(len(self.pairs))
+        if self.known is None or len(self.place) + len(ws) > len(self.known):
+            # room for more words; what a task has seen is forgotten when it becomes too much
+            size = 4_096 if self.known is None else 2 * len(self.known)
+            if size > 1 << 19:
+                self.place.clear()
+                size = 4_096
+            size = max(size, 2 * len(ws))
+            grown = np.zeros((size, len(self.pairs)), np.float32)
+            if self.place:
+                grown[: len(self.known)] = self.known
+            self.known = grown
+        at = []
         for w in ws:
-            if (s := self.cache.get(w)) is None:
-                at, value = letters(w)
-                s = self.weights[:, at] @ value
-                if len(self.cache) > 500_000:
-                    self.cache.clear()
-                self.cache[w] = s
-            total += s
-        return total / max(1, len(ws)) + self.offsets, len(ws)
+            if (n := self.place.get(w)) is None:
+                n = self.place[w] = len(self.place)
+                where, value = letters(w)
+                self.known[n] = self.weights[:, where] @ value
+            at.append(n)
+        return (self.known[at].sum(0) / max(1, len(ws)) if ws else np.zeros(len(self.pairs))) + self.offsets, len(ws)
 
     def decide(self, margins: np.ndarray) -> tuple[str, float]:
         """(language, confidence) from the margins: the family by votes, then the language within it by votes."""
-        by = dict(zip(self.pairs, margins, strict=True))
+        by = margins.tolist()
 
         def vote(names: tuple[str, ...]) -> tuple[str, float]:
             if len(names) == 1:
                 return names[0], 1.0
-            gained = {n: [m if a == n else -m for (a, b), m in by.items() if n in (a, b) and {a, b} <= {*names}] for n in names}
-            best = max(names, key=lambda n: (sum(m > 0 for m in gained[n]), min(gained[n])))
-            return best, float(1 / (1 + np.exp(-4 * min(gained[best]))))
+            won, least = dict.fromkeys(names, 0), dict.fromkeys(names, float("inf"))
+            for (a, b), m in zip(self.pairs, by, strict=True):
+                if a in won and b in won:
+                    won[a if m > 0 else b] += 1
+                    least[a], least[b] = min(least[a], m), min(least[b], -m)
+            best = max(names, key=lambda n: (won[n], least[n]))
+            return best, 1 / (1 + math.exp(-4 * max(-100.0, least[best])))
 
         family, sure = vote(tuple(FAMILIES))
         language, surer = vote(FAMILIES[family])
@@ -246,7 +263,7 @@ def classify(docs: DataFrame, samples: DataFrame, rows: int = ROWS, documents: i
     more = [(r["c"], r["text"]) for r in ours.orderBy(F.xxhash64("text"), "text").limit(documents).collect()]
     model = fit(drawn + agreeing(model, more, rows))
     picked = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", code(F.col("lang")).alias("label"))
-    return picked.mapInArrow(lambda it: _classify(it, model), "doc_id long, segment_no int, segments int, lang_code string, confidence double, start long, end long, label string")
+    return spread(picked).mapInArrow(lambda it: _classify(it, model), "doc_id long, segment_no int, segments int, lang_code string, confidence double, start long, end long, label string")
 
 
 def mislabelled(found: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.session import cut
+from skeinwork.session import cut, spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 ROUNDS, ACCEPT, SUPPORT, UNTYPED = 3, 0.5, 3, 0.1
@@ -203,7 +203,7 @@ def found(df: DataFrame, id_col: str = "segment_id", messages_col: str = "messag
     Offsets are code points of the message's text. Null ids, messages and texts hold nothing; repeated rows count once; a
     person counts only where a context speaks for it, however well known the name. An empty input gives no rows.
     """
-    spans = cut(messages(df, id_col, messages_col).mapInArrow(_extract, "id string, message_no int, cls string, start int, end int, item string, seed string, l2 string, l1 string, r2 string, r1 string, shape string").distinct())
+    spans = cut(spread(messages(df, id_col, messages_col)).mapInArrow(_extract, "id string, message_no int, cls string, start int, end int, item string, seed string, l2 string, l1 string, r2 string, r1 string, shape string").distinct())
     key = ["cls", "seed", "l2", "l1", "r2", "r1", "shape"]
     seen = cut(spans.groupBy(*key).agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()))
     # persons: the seeds teach contexts, but are themselves judged by them

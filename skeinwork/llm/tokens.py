@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.session import spread
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,5 +47,5 @@ def counted(df: DataFrame, id_col: str, text_col: str, keep: dict[str, str], pat
     """
     few = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), *(F.col(f"`{c}`").alias(n) for c, n in keep.items()), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema.fields[:-1]) + ", n_tokens long"
-    sized = few.mapInArrow(lambda it: _count(it, path), schema)
+    sized = spread(few).mapInArrow(lambda it: _count(it, path), schema)
     return sized.groupBy("id").agg(F.max(F.struct(*keep.values(), "n_tokens")).alias("x")).select("id", *(F.col(f"x.{n}").alias(n) for n in keep.values()), "x.n_tokens")
