@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.operators.prefix import running_sum
-from skeinwork.session import small
+from skeinwork.session import cut, small
 
 #: Hash ranges a pass over a source is cut into.
 RANGES = 1_024
@@ -35,6 +35,7 @@ def mixture(sized: DataFrame, targets: DataFrame, budget: int | None = None, see
         .select("source", F.col("g.target_share").alias("weight"), F.col("g.max_repeats").cast("int").alias("most"))
     )
     docs = sized.where(F.col("id").isNotNull() & (F.col("n_tokens") > 0)).select("id", "source", "n_tokens").join(small(goals), "source")
+    docs = cut(docs)  # sizes alone; adding them up must not count all tokens twice
     if budget is None:
         held = goals.join(docs.groupBy("source").agg(F.sum("n_tokens").alias("n")), "source", "left")
         limit = held.agg(F.min(F.coalesce("n", F.lit(0)) * F.col("most") / F.col("weight"))).first()[0]
