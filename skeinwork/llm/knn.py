@@ -17,7 +17,6 @@ the fit takes at most `sample` vectors. Vectors travel as 16-bit fixed-point val
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,6 @@ PROBES, MARGIN, EPSILON, COLUMNS = 8, 0.15, 2.1, 16
 SCALE = 32_767
 
 
-@functools.lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
     """A fixed random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(20_240_801).standard_normal((dim, dim)))

@@ -16,7 +16,6 @@ broadcast only if small.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.session import cut as checkpointed
 from skeinwork.session import small
 
 LIMIT = 0.7
@@ -81,9 +81,10 @@ william bill will billy
 zainab zay"""
 
 
-@functools.lru_cache(maxsize=100_000)
 def fold(token: str) -> str:
     """A token without accents, in lower case."""
+    if token.isascii():
+        return token.casefold()
     base = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).casefold()
     return base.translate(str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ı": "i"}))
 
@@ -232,6 +233,7 @@ def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key",
     one = entities.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("canonical_name").alias("name"), F.lit(True).alias("canonical"))
     other = entities.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.explode("aliases").alias("name"), F.lit(False).alias("canonical"))
     tokens = one.unionByName(other).where(F.col("name").isNotNull()).distinct().mapInArrow(_tokens, "id string, canonical boolean, name string, place int, token string, folded string")
+    tokens = checkpointed(tokens)
     frequency = tokens.groupBy("folded").agg(F.count_distinct("id").alias("df"))
     # nicknames: aliases that differ from the canonical name in their first word alone
     first = tokens.where("place = 0 and length(folded) > 1").alias("a")
@@ -252,6 +254,7 @@ def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key",
     least = known.withColumn("least", F.min(F.when(F.col("telling"), F.col("df"))).over(each)).withColumn("any", F.min(F.when(F.length("folded") > 1, F.col("df"))).over(each))
     rare = F.when(F.col("least").isNotNull(), F.col("telling") & (F.col("df") <= F.greatest(F.col("least"), F.lit(RARE)))).otherwise((F.length("folded") > 1) & (F.col("df") == F.col("any")))
     rated = least.withColumn("rare", F.coalesce(rare, F.lit(False))).select("id", "name", "place", "token", "folded", "forms", "rare")
+    rated = checkpointed(rated)
     names = rated.groupBy("id", "name").agg(F.collect_list(F.struct("place", "token", "forms", "rare")).alias("tokens"))
     shorter = F.expr("transform(sequence(1, length(folded)), i -> concat(substr(folded, 1, i - 1), substr(folded, i + 1)))")
     keys = F.when(F.length("folded") >= 4, F.concat(F.array("folded"), shorter)).otherwise(F.array("folded"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import functools
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,13 +17,16 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@functools.lru_cache(maxsize=2)
 def _encoding(path: str):
+    """The encoding of a rank file, read once per process (a function sent by value has no module of its own to keep it in)."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kept = sys.__dict__.setdefault("_skeinwork_encodings", {})
+    if path not in kept:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        kept[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[path]
 
 
 def encode(text: str, path: str = RANKS) -> list[int]:
