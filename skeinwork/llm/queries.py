@@ -129,6 +129,13 @@ SQL = {
 SELECT segment_id FROM (SELECT DISTINCT segment_id, messages FROM segment_requests WHERE segment_id IS NOT NULL)
 WHERE list_sum(list_transform(messages, lambda m: length(coalesce(m.text, '')) + length(regexp_replace(coalesce(m.text, ''), '[\\x{0}-\\x{ffff}]', '', 'g')))) > 20000
 GROUP BY segment_id
+""",
+    "p4_found": """
+WITH w AS (SELECT DISTINCT id, list_distinct(regexp_extract_all(lower(concat_ws(' ', subject, predicate, object_value)), '[\\p{L}\\p{N}]+')) AS words
+           FROM claims WHERE id IS NOT NULL AND length(object_value) >= 60),
+s AS (SELECT id, words, len(words) AS n FROM w WHERE len(words) > 0),
+p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.words, b.words)) AS common, a.n + b.n AS total FROM s a JOIN s b ON a.id < b.id AND 10 * least(a.n, b.n) >= 6 * greatest(a.n, b.n))
+SELECT DISTINCT id_a, id_b FROM p WHERE 10 * common >= 6 * (total - common)
 """,
     "p7_found": """
 WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY time_updated DESC) AS rn FROM chat_messages) WHERE rn = 1),
