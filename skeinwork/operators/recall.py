@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.scoring import recall_score
-from skeinwork.session import small
+from skeinwork.session import cut, small
 
 BLOCK = 2_048
 
@@ -150,11 +150,11 @@ def recall(queries: DataFrame, claims: DataFrame, segments: DataFrame, dim: int,
     claims: one row per id with vector, subject_entity_id, object_entity_id, confidence, equivalence_key, segment_id. Of the
     candidates of one equivalence key the best scored counts; equal scores go to direct claims, then to the smaller id.
     """
-    direct = nearest(queries, claims, dim, direct_k)
+    direct = cut(nearest(queries, claims, dim, direct_k))  # a few rows per query, used three times
     ends = claims.select("id", "subject_entity_id", "object_entity_id")
     around = neighbours(queries, seeds(direct.join(ends, "id")), claims, dim, neighbour_k)
     offered = direct.select("query", "id", "similarity", F.lit(None).cast("double").alias("seed"), F.lit(True).alias("is_direct")).unionByName(around.select("query", "id", "similarity", "seed", F.lit(False).alias("is_direct")))
-    rows = offered.join(claims.select("id", "confidence", "equivalence_key", "segment_id"), "id")
+    rows = cut(offered.join(claims.select("id", "confidence", "equivalence_key", "segment_id"), "id"))
     counted = support(claims, segments, rows.select("equivalence_key").distinct())
     scored = rows.join(counted, "equivalence_key", "left").withColumn("score", F.round(recall_score(F.col("is_direct"), F.col("similarity"), F.col("seed"), F.col("confidence"), F.col("session_count")), 9))
     order = [F.desc("score"), F.desc("is_direct"), F.asc("id")]
