@@ -32,8 +32,8 @@ class Claim(TypedDict):
 
 Extractor = Callable[[list[str]], list[list[Claim]]]
 Embedder = Callable[[list[str]], np.ndarray]
-#: Claims of one segment, at most, and bytes of one text to embed, at most.
-CLAIMS, INPUT_BYTES = 25, 30_000
+#: Bytes of one text to embed, at most.
+INPUT_BYTES = 30_000
 
 _RULE = re.compile(r"\b(?:The|the|Our|our) ([a-z]+ [a-z]+) (reads|keeps|needs|counts|loses|skips|writes|merges|rebuilds|ignores|returns|drops) ([^.,;!?\n]{3,80})")
 
@@ -72,7 +72,7 @@ def embedded(df: DataFrame, column: str, embedder: Embedder = hashed_grams, name
 
 
 def proposed(requests: DataFrame, extractor: Extractor = rules) -> DataFrame:
-    """(segment_id, index, claim columns): what the extractor proposes for each segment, in order, at most CLAIMS of it."""
+    """(segment_id, index, claim columns): all that the extractor proposes for each segment, in order."""
     joined = requests.where("segment_id is not null").select("segment_id", F.coalesce(F.array_join("messages.text", "\n", ""), F.lit("")).alias("t")).groupBy("segment_id").agg(F.max("t").alias("t"))
     schema = "segment_id string, index int, subject string, predicate string, confidence double, object_entity string, object_value string"
     arrow = pa.schema([("segment_id", pa.string()), ("index", pa.int32()), ("subject", pa.string()), ("predicate", pa.string()), ("confidence", pa.float64()), ("object_entity", pa.string()), ("object_value", pa.string())])
@@ -80,7 +80,7 @@ def proposed(requests: DataFrame, extractor: Extractor = rules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = extractor(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_pylist([{"segment_id": s, "index": i, **c} for s, cs in zip(batch.column(0).to_pylist(), found, strict=True) for i, c in enumerate(cs[:CLAIMS])], arrow)
+            yield pa.RecordBatch.from_pylist([{"segment_id": s, "index": i, **c} for s, cs in zip(batch.column(0).to_pylist(), found, strict=True) for i, c in enumerate(cs)], arrow)
 
     return joined.mapInArrow(run, schema)
 

@@ -131,6 +131,16 @@ def test_extraction_and_commit(spark, tmp_path):
         extraction.embedded(spark.createDataFrame([("é" * 15_001,)], "t string"), "t").collect()
 
 
+def test_all_claims_of_a_large_segment_come_out(spark):
+    verbs = ["reads", "keeps", "needs", "drops"]
+    t = " ".join(f"The {'abcdefghijklmnopqrst'[n // 4]}x worker {verbs[n % 4]} row {n}." for n in range(80))
+    requests = spark.createDataFrame([("s", [("user", t)])], "segment_id string, messages array<struct<role: string, text: string>>")
+    proposed = extraction.proposed(requests)
+    assert sorted((r["index"], r["object_value"]) for r in proposed.collect()) == [(n, f"row {n}") for n in range(80)]
+    claims, entities = extraction.prepared(proposed, spark.createDataFrame([], "id string, name string"))
+    assert len({r["id"] for r in claims.collect()}) == 80 and entities.count() == 20
+
+
 def test_projection(spark):
     s = spark.createDataFrame([("a", n, f"u{n}", 400.0, n < 5) for n in range(1, 6)] + [("short", 1, "v", 4.0, False), ("open", 1, "w1", 4000.0, False), ("open", 2, "w2", 4.0, False)], "session_id string, segment_no long, start_id string, weight double, closed boolean")
     got = projection.tails(s, F.lit(600), F.lit(None).cast("long"), F.lit(100)).collect()
