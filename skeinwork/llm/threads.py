@@ -1,13 +1,13 @@
 """Conversations rebuilt from message rows: reply links, link trees, and the sessions that are whole.
 
 Every reply gets one parent among the user messages of its session. A recorded parent that is such a message outweighs any
-other evidence and is taken by an equi-join. Replies whose record is lost or wrong are disentangled: candidates are the last
-user messages before the reply, scored by time gap, by identifiers the reply mentions and by words in common, and the
+other evidence and is taken by an equi-join. Replies whose record is lost or wrong are disentangled: candidates are all
+user messages of the session, before the reply or after it, scored by time gap, by identifiers the reply mentions and by words in common, and the
 likeliest is chosen. Links form trees of a user message and its replies. A session counts as whole only if every link in it
 is recorded; inferred links serve repair (`links`), not the whole sessions.
 
 Hot sessions: recorded links are joined by message, aggregates are combined before the shuffle, and whatever needs time order
-within a session works on hour slots of it.
+within a session works on hour slots of it. Only replies without a record are compared with every question of their session.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from skeinwork.operators.prefix import running_sum
 
 ABORTED = "MessageAbortedError"
 SLOT_S = 3_600
-#: Weights of time, mentions and common words, and the user messages before a reply that are candidates.
-WEIGHTS, CANDIDATES = (1.0, 1.5, 1.0), 3
+#: Weights of time, mentions and common words.
+WEIGHTS = (1.0, 1.5, 1.0)
 #: Seconds in which the weight of time falls to 1/e.
 FADE_S = 600.0
+#: Factor of the weight of time where clocks disagree so that the question is timed after the reply.
+BEHIND = 0.25
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -59,33 +61,24 @@ def recorded(m: DataFrame) -> DataFrame:
 
 
 def inferred(m: DataFrame, known: DataFrame) -> DataFrame:
-    """(message_id, parent, score): for replies without a recorded parent the likeliest of the user messages before them."""
-    lost = m.where("role = 'assistant'").join(known, "message_id", "left_anti")
-    users = m.where("role = 'user'").join(lost.select("session_id").distinct(), "session_id", "left_semi")
-    both = lost.withColumn("kind", F.lit(1)).unionByName(users.withColumn("kind", F.lit(0))).withColumn("slot", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / SLOT_S))
-    user = F.when(F.col("kind") == 0, F.struct("at", F.col("message_id").alias("id")))
-    before = Window.partitionBy("session_id", "slot").orderBy("at", "kind", "message_id")
-    near = F.array_compact(F.array(*(F.lag(F.when(F.col("kind") == 0, F.struct("at", F.col("message_id").alias("id"))), i).over(before) for i in range(1, 4 * CANDIDATES))))
-    placed = both.select("session_id", "slot", "kind", "message_id", "at", F.slice(near, 1, CANDIDATES).alias("near"))
-    last = both.where("kind = 0").withColumn("rn", F.row_number().over(Window.partitionBy("session_id", "slot").orderBy(F.desc("at"), F.desc("message_id")))).where(F.col("rn") <= CANDIDATES)
-    tails = last.groupBy("session_id", "slot").agg(F.reverse(F.array_sort(F.collect_list(user))).alias("tail"))
-    slots = both.select("session_id", "slot").distinct().join(tails, ["session_id", "slot"], "left")
-    earlier = slots.select("session_id", "slot", F.last("tail", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    offered = (
-        placed.where("kind = 1").join(earlier, ["session_id", "slot"], "left")
-        .select("message_id", "at", F.explode(F.slice(F.concat("near", F.coalesce("earlier", F.array().cast("array<struct<at:timestamp,id:string>>"))), 1, CANDIDATES)).alias("c"))
-        .select("message_id", "at", F.col("c.id").alias("parent"), F.col("c.at").alias("asked"))
-    )
+    """(message_id, parent, score): for replies without a recorded parent the likeliest of all user messages of their session.
+
+    Every pair of such a reply and a question of its session is scored, so a session costs the product of both. Of equal
+    scores the nearest in time counts, then the later; without a time, words alone decide.
+    """
+    lost = m.where("role = 'assistant'").join(known, "message_id", "left_anti").select("message_id", "session_id", "at")
+    users = m.where("role = 'user'").select(F.col("session_id").alias("user_session"), F.col("message_id").alias("parent"), F.col("at").alias("asked"))
+    offered = lost.join(users, F.col("session_id").eqNullSafe(F.col("user_session"))).select("message_id", "at", "parent", "asked")
     said = m.select(F.col("message_id").alias("i"), "said")
     texts = offered.join(said.select(F.col("i").alias("message_id"), F.col("said").alias("reply")), "message_id").join(said.select(F.col("i").alias("parent"), F.col("said").alias("question")), "parent")
-    gap = F.unix_seconds(F.col("at").cast("timestamp")) - F.unix_seconds(F.col("asked").cast("timestamp"))
+    gap = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("asked").cast("timestamp"))) / 1_000_000
     names, plain = r"[\p{L}\p{N}]+(?:[_./-][\p{L}\p{N}]+)+", r"[\p{L}\p{N}]{3,}"
     score = (
-        WEIGHTS[0] * F.exp(-gap / FADE_S)
+        WEIGHTS[0] * F.coalesce(F.when(gap < 0, BEHIND).otherwise(1.0) * F.exp(-F.abs(gap) / FADE_S), F.lit(0.0))
         + WEIGHTS[1] * _share(_tokens(F.col("reply"), names), _tokens(F.col("question"), names))
         + WEIGHTS[2] * _share(_tokens(F.col("reply"), plain), _tokens(F.col("question"), plain))
     )
-    best = F.max(F.struct(score.alias("score"), F.col("asked"), F.col("parent").alias("parent")))
+    best = F.max(F.struct(score.alias("score"), (-F.abs(gap)).alias("near"), F.col("asked"), F.col("parent").alias("parent")))
     return texts.groupBy("message_id").agg(best.alias("b")).select("message_id", F.col("b.parent").alias("parent"), F.col("b.score").alias("score"))
 
 

@@ -54,3 +54,11 @@ def test_lost_links_are_found_again(spark):
     found = {r["message_id"]: (r["parent_id"], r["source"]) for r in threads.links(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {k: v[0] for k, v in found.items()} == true
     assert sum(s == "inferred" for _, s in found.values()) == 60
+
+
+def test_every_lost_reply_is_offered_all_questions(spark):
+    rows = [row("u0", "hot", "user", 0, text="plain"), row("u1", "hot", "user", 3600, text="look at src/queue_a.py"), *(row(f"a{n}", "hot", "assistant", 3601 + 60 * n, text="done with src/queue_a.py") for n in range(50))]
+    rows += [*(row(f"q{n}", "woven", "user", 60 * n, text=f"look at src/file_{n}.py") for n in range(8)), row("w", "woven", "assistant", 500, text="done with src/file_1.py")]
+    rows += [row("late", "clock", "user", 300, text="look at src/late.py"), row("early", "clock", "assistant", 0, text="done with src/late.py")]
+    found = {r["message_id"]: r["parent_id"] for r in threads.links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {f"a{n}": "u1" for n in range(50)} | {"w": "q1", "early": "late"}
