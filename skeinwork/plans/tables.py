@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import text
 from skeinwork.operators import candidates, recall, tables
+from skeinwork.plans import changes
 from skeinwork.session import read
 
 
@@ -167,7 +168,7 @@ def segment_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested segments by whether claims of them exist and whether their change feed ends in a delete."""
     r = read(spark, sf_dir, "segment_requests").select("segment_id", F.size("messages").alias("messages")).distinct()
     c = read(spark, sf_dir, "claims").select(F.col("segment_id").alias("c")).distinct()
-    d = read(spark, sf_dir, "job_changes").where("lower(op) in ('d', 'delete')").select(F.col("segment_id").alias("d")).distinct()
+    d = changes.p5_tombstones(spark, sf_dir).select(F.col("segment_id").alias("d"))
     status = F.when(F.col("d").isNotNull(), "stale").when(F.col("c").isNotNull(), "known").otherwise("new")
     return r.join(c, F.col("segment_id") == F.col("c"), "left").join(d, F.col("segment_id") == F.col("d"), "left").groupBy(status.alias("status")).agg(F.count("*").alias("segments"), F.sum("messages").alias("messages"))
 
