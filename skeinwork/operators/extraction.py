@@ -135,7 +135,7 @@ def upgraded(claims: DataFrame, columns: dict[str, object]) -> DataFrame:
     return claims
 
 
-def prior_texts(summaries: DataFrame, most: int = 50) -> DataFrame:
-    """(segment_id, prior): for each segment (session_id, segment_id, at, summary) the last `most` summaries of its session before it, oldest first."""
-    before = Window.partitionBy("session_id").orderBy("at", "segment_id").rowsBetween(-most, -1)
+def prior_texts(summaries: DataFrame, most: int | None = None) -> DataFrame:
+    """(segment_id, prior): for each segment (session_id, segment_id, at, summary) all summaries of its session before it, or the last `most` of them, oldest first."""
+    before = Window.partitionBy("session_id").orderBy("at", "segment_id").rowsBetween(Window.unboundedPreceding if most is None else -most, -1)
     return summaries.select("segment_id", F.collect_list("summary").over(before).alias("prior"))

@@ -39,6 +39,13 @@ def extracted_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.drop("embedding")
 
 
+def prior_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of all segments before each one in its session, oldest first; a segment without claims has no summary."""
+    r = read(spark, sf_dir, "segment_requests").groupBy("session_id", "segment_id").agg(F.min("created_at").alias("at"))
+    made = summary_budget(spark, sf_dir).select("segment_id", F.col("text").alias("summary"))
+    return extraction.prior_texts(r.join(made, "segment_id", "left"))
+
+
 SQL = {
     "context_tails": conversations._packs(600).replace("SELECT session_id, run::BIGINT", "SELECT * FROM (SELECT session_id, run::BIGINT", 1).rstrip() + ")",
     "summary_budget": """WITH c AS (SELECT segment_id, id, max(concat_ws(' ', subject, predicate)) AS t FROM claims GROUP BY ALL),
@@ -54,5 +61,7 @@ w AS (SELECT *, sum(n) OVER (PARTITION BY session_id) AS total, sum(n) OVER (PAR
 c AS (SELECT *, tail <= {_TARGET} AS fits FROM w WHERE before AND total >= {_THRESHOLD}),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY fits DESC, CASE WHEN fits THEN segment_no ELSE -segment_no END) AS rn FROM c)
 SELECT session_id, segment_no, start_id, segment_no - 1 AS archived, tail AS tail_tokens, fits FROM r WHERE rn = 1"""
+SQL["prior_summaries"] = f"""WITH r AS (SELECT session_id, segment_id, min(created_at) AS made FROM segment_requests GROUP BY ALL), b AS ({SQL['summary_budget']})
+SELECT segment_id, coalesce(list(b.text) FILTER (WHERE b.text IS NOT NULL) OVER (PARTITION BY session_id ORDER BY made, segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS prior FROM r LEFT JOIN b USING (segment_id)"""
 
-QUERIES = {f.__name__: f for f in (context_tails, summary_budget, extracted_claims, extracted_entities)}
+QUERIES = {f.__name__: f for f in (context_tails, summary_budget, extracted_claims, extracted_entities, prior_summaries)}

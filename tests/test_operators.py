@@ -173,3 +173,8 @@ def test_upgrade_twice_is_once(spark):
 def test_prior_texts(spark):
     df = spark.createDataFrame([("s", f"g{n}", T0 + dt.timedelta(hours=n), f"t{n}") for n in range(4)], "session_id string, segment_id string, at timestamp, summary string")
     assert {r["segment_id"]: r["prior"] for r in extraction.prior_texts(df, 2).collect()} == {"g0": [], "g1": ["t0"], "g2": ["t0", "t1"], "g3": ["t1", "t2"]}
+
+
+def test_prior_texts_of_a_long_session_are_all_there(spark):
+    df = spark.createDataFrame([("s", f"g{n:02}", T0 + dt.timedelta(hours=n), f"t{n}") for n in range(61)], "session_id string, segment_id string, at timestamp, summary string")
+    assert {r["segment_id"]: len(r["prior"]) for r in extraction.prior_texts(df).collect()} == {f"g{n:02}": n for n in range(61)}
