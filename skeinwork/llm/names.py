@@ -169,6 +169,8 @@ def align(words: list[tuple[str, bool]], name: list[str], forms: list[frozenset[
                 if value <= LIMIT + 1 and value < after.get(key, 9.0):
                     after[key] = value
         best = after
+        if not best:
+            return None
     ends = [cost + sum(missing(name[j]) for j in range(n) if not used >> j & 1) for (used, met), cost in best.items() if met]
     return min(ends, default=None)
 
@@ -213,8 +215,6 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, forms, rare = [x["token"] for x in ts], [frozenset(x["forms"] or ()) for x in ts], [x["rare"] for x in ts]
             found = []
             for words in readings(t):
-                if len(words) > len(name) + 8:
-                    continue  # more than eight words nobody asked for cannot stay within any limit
                 c = align(words, name, forms, rare)
                 if c is not None:
                     found.append(c)

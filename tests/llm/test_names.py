@@ -37,6 +37,10 @@ def test_long_text_and_empty_tables(spark):
     assert names.link(spark.createDataFrame([(1, "Daniel Ilmdiley")], m.schema), e).count() == 0
 
 
+def test_many_titles_around_a_name(spark):
+    assert link(spark, ["Daniel Ilmdiley", "Dr. " * 12 + "Daniel Ilmdiley", "x y z " * 4 + "Daniel Ilmdiley", "word " * 12 + "Daniel Ilmdiley"]) == ["p2", "p2", "p2", None]
+
+
 def test_a_key_with_two_texts(spark):
     e = spark.createDataFrame(ENTITIES, "id string, canonical_name string, aliases array<string>")
     m = spark.createDataFrame([(1, "Daniel Ilmdiley"), (1, "Dan Ilmdiley"), (2, "Daniel Ilmdiley"), (2, "Zoe Dornurath"), (None, "Zoe Dornurath"), (3, "Zoe Dornurath"), (3, "Zoe Dornurath")], "mention_key long, text string")
