@@ -178,3 +178,14 @@ def test_prior_texts(spark):
 def test_prior_texts_of_a_long_session_are_all_there(spark):
     df = spark.createDataFrame([("s", f"g{n:02}", T0 + dt.timedelta(hours=n), f"t{n}") for n in range(61)], "session_id string, segment_id string, at timestamp, summary string")
     assert {r["segment_id"]: len(r["prior"]) for r in extraction.prior_texts(df).collect()} == {f"g{n:02}": n for n in range(61)}
+
+
+def test_numbers_of_a_group_that_spans_partitions(spark):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, i long").repartition(9)
+    got = {(r["g"], r["i"]): r["n"] for r in prefix.numbered(df, "g", ["i"], "n").collect()}
+    held: dict = {}
+    for g, i in rows:
+        held[g] = held.get(g, 0) + 1
+        assert got[g, i] == held[g]
+    assert prefix.numbered(df.limit(0), "g", ["i"], "n").count() == 0
