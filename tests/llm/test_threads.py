@@ -62,3 +62,20 @@ def test_every_lost_reply_is_offered_all_questions(spark):
     rows += [row("late", "clock", "user", 300, text="look at src/late.py"), row("early", "clock", "assistant", 0, text="done with src/late.py")]
     found = {r["message_id"]: r["parent_id"] for r in threads.links(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {f"a{n}": "u1" for n in range(50)} | {"w": "q1", "early": "late"}
+
+
+def test_replies_without_a_record_in_one_run(spark):
+    # fourteen replies within seconds name what the newer question names; an older question lies an hour before
+    rows = [row("u0", "s", "user", 0, text="plain words"), row("u1", "s", "user", 3600, text="look at src/queue_a.py"), *(row(f"a{n:02}", "s", "assistant", 3601 + n, text="done with src/queue_a.py") for n in range(14))]
+    assert {r["parent_id"] for r in threads.links(spark.createDataFrame(rows, SCHEMA)).collect()} == {"u1"}
+
+
+def test_odd_times_and_sessions_without_questions(spark):
+    untimed = (*row("n", "s", "assistant", 0, text="x")[:6], None, T0, "x", 1, "y")
+    rows = [row("u", "s", "user", 50), untimed, row("b", "s", "assistant", 10), row("alone", "t", "assistant", 10), row("na", None, "user", 1), row("nb", None, "assistant", 2)]
+    assert {(r["message_id"], r["parent_id"], r["source"]) for r in threads.links(spark.createDataFrame(rows, SCHEMA)).collect()} == {("n", "u", "inferred"), ("b", "u", "inferred"), ("nb", "na", "inferred")}
+
+
+def test_texts_and_roles_of_whole_sessions(spark):
+    rows = [row("u", "s", "user", 1, text="ask"), row("a", "s", "assistant", 2, "u", text="tell")]
+    assert sorted((r["turn_no"], r["role"], r["said"]) for r in threads.whole_sessions(spark.createDataFrame(rows, SCHEMA), texts=True).collect()) == [(1, "user", "ask"), (2, "assistant", "tell")]
