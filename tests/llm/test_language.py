@@ -14,6 +14,16 @@ SENTENCES = {
 }
 
 
+def judged(model, text):
+    f = lang.scored([text], model)
+    return lang.LANGUAGES[model.decide(f.sums.sum(0)[None] / f.n.sum() + model.offsets)[0][0]]
+
+
+def parts_of(model, text):
+    _, _, language, sure, start, end = lang.stretches([text], model)
+    return [(lang.LANGUAGES[c], *x) for c, *x in zip(language.tolist(), sure.tolist(), start.tolist(), end.tolist(), strict=True)]
+
+
 @pytest.fixture(scope="module")
 def model():
     return lang.fit([(c, s) for c, ss in SENTENCES.items() for s in ss[:4]])
@@ -21,7 +31,7 @@ def model():
 
 def test_held_out_sentences(model):
     """Four sentences a language teach; Spanish and Portuguese may still be taken for each other."""
-    got = {c: model.decide(model.scores(ss[4])[0])[0] for c, ss in SENTENCES.items()}
+    got = {c: judged(model, ss[4]) for c, ss in SENTENCES.items()}
     assert {c for c in SENTENCES if got[c] != c} <= {"es", "pt"} and {got["es"], got["pt"]} <= {"es", "pt"}
 
 
@@ -32,18 +42,39 @@ def test_held_out_samples():
     t = pq.read_table("/root/testdata/sf0.001/lang_samples.parquet").to_pylist()
     fitted = lang.fit([(r["lang_code"], r["text"]) for r in t if r["sample_id"] % 3])
     held = [r for r in t if r["sample_id"] % 3 == 0]
-    right = sum(fitted.decide(fitted.scores(r["text"])[0])[0] == r["lang_code"] for r in held)
+    right = sum(judged(fitted, r["text"]) == r["lang_code"] for r in held)
     assert right / len(held) >= 0.95
 
 
 def test_stretches_tags_code_and_short_parts(model):
     en, de = SENTENCES["en"], SENTENCES["de"]
     text = f"[user] {en[0]} {en[1]}\n```\nx = der die das und\n```\n{de[0]} OK. {de[1]}\n[assistant] {en[2]}"
-    parts = lang.stretches(text, model)
+    parts = parts_of(model, text)
     assert [p[0] for p in parts] == ["en", "de", "en"]
     assert all(0 < p[1] <= 1 for p in parts)
     assert text[parts[1][2] : parts[1][3]].strip().startswith("Der Dienst")
-    assert lang.stretches("", model) == [] and lang.stretches("12 34 !!", model) == [] and lang.stretches("```\ncode()\n```", model) == []
+    assert parts_of(model, "") == [] and parts_of(model, "12 34 !!") == [] and parts_of(model, "```\ncode()\n```") == []
+
+
+def test_texts_of_a_batch_do_not_mix(model):
+    """Each text gets what it gets alone, even after an open code block, and whatever the chunks."""
+    texts = [" ".join(SENTENCES["en"]), "", "```\nnever closed", SENTENCES["fr"][0], "12", "\x00" + SENTENCES["de"][0] + "\n" + SENTENCES["pl"][1], " ".join(SENTENCES["it"] * 40)]
+    text, place, language, sure, start, end = lang.stretches(texts, model)
+    for n, t in enumerate(texts):
+        at = text == n
+        assert [(lang.LANGUAGES[c], round(p, 6), a, b) for c, p, a, b in zip(language[at], sure[at], start[at], end[at], strict=True)] == [(c, round(p, 6), a, b) for c, p, a, b in parts_of(model, t)]
+        assert place[at].tolist() == list(range(1, at.sum() + 1))
+
+
+def test_what_is_no_language():
+    assert lang.words("see src/main.py [user] load(12) foo_bar a.b v2 'quoted' (sagt) it's Session-Cache — 12%") == ["see", "quoted", "sagt", "it's", "session", "cache"]
+
+
+def test_confidence_follows_the_labels(model):
+    """Labels that agree with most decisions make a steep curve, labels drawn at random a flat one."""
+    docs = [(c, s) for c, ss in SENTENCES.items() for s in ss] * 3
+    assert lang.calibrated(model, docs) > lang.calibrated(model, [(lang.LANGUAGES[(n * 3) % 8], t) for n, (_, t) in enumerate(docs)])
+    assert lang.calibrated(model, []) == model.slope
 
 
 SCHEMA = "doc_id long, text string, lang string, label string, segments int"
