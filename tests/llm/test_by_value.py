@@ -25,9 +25,9 @@ def batch(*columns):
 def works():
     model = language.fit(SAMPLES)
     unit = pa.array(np.eye(8, dtype=np.float32)[:2].tolist(), pa.list_(pa.float32()))
-    cents, one = np.eye(8, dtype=np.float32), np.ones(1, int)
+    lists = knn.fitted(np.eye(8, dtype=np.float32), 8)
     ids, hashes = pa.array([b"1", b"2"]), pa.array([1, 2], pa.int64())
-    yield lambda: list(knn._route(iter([batch(ids, unit, hashes, hashes)]), 8, cents, np.zeros(8, int), one, one, 2, 0.5))
+    yield lambda: list(knn._route(iter([batch(ids, unit, hashes, hashes)]), 8, lists, 2, 0.5))
     yield lambda: list(neardup._sign(iter([batch(ids, LIST)]), 4, 2, 1))
     yield lambda: list(split._split(iter([batch(TEXTS, pa.array([["ab cd"], ["x"]]))]), 10, 2))
     yield lambda: list(pii._extract(iter([batch(TEXTS, NO, TEXTS)])))

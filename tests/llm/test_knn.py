@@ -68,7 +68,7 @@ def test_empty_table(spark):
     assert knn.neighbours(spark.createDataFrame([], SCHEMA), 4).count() == 0
 
 
-def test_a_hot_cell_is_cut_into_blocks(spark, monkeypatch):
+def test_a_hot_list_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 64)
     monkeypatch.setattr(knn, "PORTION", 128)
     rng = np.random.default_rng(2)
