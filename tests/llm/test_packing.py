@@ -7,30 +7,51 @@ from hypothesis import strategies as st
 from skeinwork.llm import packing, tokens
 
 
+def best_fit(sizes, capacity):
+    """Best-fit decreasing, to compare with."""
+    free = []
+    for w in sorted(sizes, reverse=True):
+        fits = [r for r in free if r >= w]
+        if fits:
+            free.remove(min(fits))
+        free.append((min(fits) if fits else capacity) - w)
+    return len(free)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=80))
 def test_every_item_once_and_none_over(sizes):
-    bins = packing.pack(sizes, 100)
+    bins, _ = packing.pack(sizes, 100)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(0 < sum(sizes[i] for i in b) <= 100 for b in bins)
-    assert len(bins) <= len(packing.best_fit(sizes, 100))
+    assert len(bins) <= len(packing.next_fit(sizes, 100))
 
 
-def test_search_beats_the_start():
+def test_search_beats_the_start_and_best_fit():
     sizes = [51] * 6 + [27] * 6 + [26] * 6 + [23] * 12
-    assert len(packing.best_fit(sizes, 100)) == 11
-    assert len(packing.pack(sizes, 100)) == 9
+    bins, exchanges = packing.pack(sizes, 100)
+    assert len(packing.next_fit(sizes, 100)) == 13 and best_fit(sizes, 100) == 11
+    assert len(bins) == 9 and exchanges > 0
+    rng = random.Random(4)
+    cases = [[rng.randint(low, high) for _ in range(rng.randint(30, 200))] for low, high in [(1, 100), (10, 60), (24, 54), (1, 30)] * 8]
+    assert sum(len(packing.pack(c, 100)[0]) for c in cases) < sum(best_fit(c, 100) for c in cases)
 
 
 def test_an_exchange_raises_the_squared_fill():
     rng = random.Random(3)
+    made = 0
     for _ in range(300):
-        a, b = ([rng.randint(1, 40) for _ in range(rng.randint(1, 4))] for _ in range(2))
-        sizes, fa, fb = a + b, sum(a), sum(b)
-        if fa < 100 and fb <= 100 and (step := packing._exchange([*range(len(a))], [*range(len(a), len(sizes))], sizes, fa, fb, 100)):
-            out, into, gain = step
-            assert gain == sum(sizes[i] for i in into) - sum(sizes[i] for i in out) and fa + gain <= 100
-            assert (fa + gain) ** 2 + (fb - gain) ** 2 > fa**2 + fb**2
+        a, b, c = ([rng.randint(1, 40) for _ in range(rng.randint(1, 4))] for _ in range(3))
+        sizes, at = a + b + c, [[*range(len(a))], [*range(len(a), len(a) + len(b))], [*range(len(a) + len(b), len(a) + len(b) + len(c))]]
+        if all(sum(x) <= 100 for x in (a, b, c)):
+            shelf = packing.Shelf(sizes, at, 100)
+            before = int((shelf.fill**2).sum())
+            if shelf.step(0):
+                made += 1
+                assert (shelf.fill**2).sum() > before and shelf.fill.max() <= 100
+                assert sorted(i for x in shelf.items for i in x) == list(range(len(sizes)))
+                assert shelf.fill.tolist() == [sum(sizes[i] for i in x) for x in shelf.items]
+    assert made > 100
 
 
 SCHEMA = "id long, n_tokens long, shard long, n long, part int"
@@ -51,7 +72,7 @@ def test_table(spark):
     for n, s in enumerate(sizes):
         assert sorted(spans[n])[0][0] == 0 and sorted(spans[n])[-1][1] == s and (s > 2048 or len(spans[n]) == 1)
         assert sum(b - a for a, b in spans[n]) == s
-    assert {*spans} == {*range(400)}
+    assert {*spans} == {*range(400)} and {*load} == {*range(len(load))}
     assert packing.fill(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
