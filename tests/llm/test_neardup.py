@@ -73,3 +73,19 @@ def test_pruning_bounds_grow_with_evidence():
     one, two = neardup.most_differing(0.6)
     assert 64 * 0.2 < one < 32 and one < two < 64
     assert neardup.most_differing(0.9)[0] < one
+
+
+def test_a_hot_bucket_loses_no_pair(spark):
+    """Buckets cut into blocks, and rows that stretch over Arrow batches, give what small buckets give."""
+    rng = random.Random(9)
+    base = [f"t{n}" for n in range(40)]
+    rows = [(f"id{n:04}", " ".join(base[:38] + [f"u{rng.randint(0, 30)}", f"v{rng.randint(0, 30)}"])) for n in range(400)] + texts(2, families=20)
+    df = spark.createDataFrame(rows, "id string, t string").withColumn("words", neardup.words(F.col("t")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        cut_up = {(r["rep_a"], r["rep_b"]) for r in neardup.similar(df, hot=50)[1].collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    classes, links = neardup.similar(df)
+    assert cut_up == {(r["rep_a"], r["rep_b"]) for r in links.collect()}
+    assert {(r["id_a"], r["id_b"]) for r in neardup.expand(classes, links).collect()} == brute(rows, 0.6)
