@@ -9,9 +9,9 @@
    abbreviations and edits cost a little; what is left over on either side costs by its kind.
 4. The entity of least cost is the answer if that cost is within `limit` and no other entity is as cheap.
 
-Nicknames are learned from the entities' own aliases, joined to a short public list. Mentions are looked up once per distinct
-text, so a text that a third of all mentions share is aligned once. All steps are joins and aggregations; the index is
-broadcast only if small.
+Nicknames are learned from the entities' own aliases, and which tokens are common from their frequency; no list of names or
+trades is used. Mentions are looked up once per distinct text, so a text that a third of all mentions share is aligned once.
+All steps are joins and aggregations; the index is broadcast only if its exact number of rows is small.
 """
 
 from __future__ import annotations
@@ -24,61 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.session import BROADCAST_BYTES
 from skeinwork.session import cut as checkpointed
-from skeinwork.session import small
 
 LIMIT = 0.7
+#: Bytes of a row of the index or of a name's token in memory, at most.
+ROW_BYTES = 200
 #: Tokens that say nothing about which entity is meant.
 LEGAL = frozenset("gmbh ag inc ltd llc bv sa nv plc co corp kg se oy ab as srl spa limited incorporated corporation gesellschaft mbh aktiengesellschaft besloten vennootschap naamloze societe anonyme sociedad anonima sociedade company".split())
 TITLES = frozenset("dr mr mrs ms mx miss prof professor sir herr frau mme m. the our team people folks from by of".split())
-KINDS = frozenset("vendor customer partner company firm product engine platform service tool app gateway console".split())
-SECTORS = frozenset("software systems data works media foods research analytics energy logistics instruments industries solutions services group holding labs technologies consulting".split())
 #: A token that at most so many entities share is distinctive, even if another of the name is rarer.
 RARE = 3
-#: Public nicknames; each line is one name and short forms of it.
-NICKNAMES = """alexander alex sasha
-aleksandra ola sasha
-antonio toni tony
-benjamin ben benny
-christopher chris kit
-daniel dan danny
-dmitri dima mitya
-eleanor ellie nell nora
-elizabeth liz beth betty eliza lizzie
-francesca fran franca chessa
-frederik fred freddy rik
-gabriela gabi gaby
-guillermo memo guille
-isabella bella izzy isa
-jonathan jon jonny
-johannes hannes joh
-jose pepe
-josephine josie jo
-katherine kate kathy katie kat
-leonardo leo
-magdalena lena magda
-margaret maggie peggy meg marge
-matthew matt matty
-maximilian max
-michael mike mick mikey
-natalia nat natasha talia
-nicholas nick nico
-ophelia phelia
-rebecca becky becca
-robert bob rob bobby
-rosalind ros roz
-samuel sam sammy
-sebastian seb bastian
-susanne susi sanne
-theodore theo ted teddy
-thomas tom tommy
-tobias tobi toby
-ursula uschi ulla
-valentin val
-victoria vicky tori vic
-wilhelmina mina minna wilma
-william bill will billy
-zainab zay"""
 
 
 def fold(token: str) -> str:
@@ -141,12 +97,12 @@ def _fit(word: str, short: bool, token: str, forms: frozenset[str]) -> float | N
     return None
 
 
-def align(words: list[tuple[str, bool]], name: list[str], forms: list[frozenset[str]], rare: list[bool]) -> float | None:
-    """Least cost of aligning a text with a name; None if no distinctive token is met in full."""
+def align(words: list[tuple[str, bool]], name: list[str], forms: list[frozenset[str]], rare: list[bool], limit: float = LIMIT) -> float | None:
+    """Least cost of aligning a text with a name; None if no distinctive token is met in full. Costs beyond limit + 1 are not followed."""
 
     def spare(word: str) -> float:
         f = fold(word)
-        return 0.02 if len(f) == 1 or f in LEGAL or f in TITLES else 0.1 if f in KINDS else 0.5
+        return 0.02 if len(f) == 1 or f in LEGAL or f in TITLES else 0.5
 
     def missing(token: str) -> float:
         return 0.02 if fold(token) in LEGAL else 0.25 if len(token) > 1 else 0.05
@@ -166,7 +122,7 @@ def align(words: list[tuple[str, bool]], name: list[str], forms: list[frozenset[
             options = [((used, met), cost + extra)]
             options += [((used | mask, met or tells), cost + c) for mask, c, tells in fits if not used & mask]
             for key, value in options:
-                if value <= LIMIT + 1 and value < after.get(key, 9.0):
+                if value <= limit + 1 and value < after.get(key, 9.0):
                     after[key] = value
         best = after
         if not best:
@@ -206,7 +162,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _costs(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, ident, tokens = (batch.column(c).to_pylist() for c in range(3))
         out = []
@@ -215,21 +171,21 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, forms, rare = [x["token"] for x in ts], [frozenset(x["forms"] or ()) for x in ts], [x["rare"] for x in ts]
             found = []
             for words in readings(t):
-                c = align(words, name, forms, rare)
+                c = align(words, name, forms, rare, limit)
                 if c is not None:
                     found.append(c)
             out.append(round(min(found), 3) if found else None)
         yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(ident, pa.string()), pa.array(out, pa.float64())], ["text", "id", "cost"])
 
 
-def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key", text_col: str = "text", limit: float = LIMIT) -> DataFrame:
+def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key", text_col: str = "text", limit: float = LIMIT, nicknames: DataFrame | None = None) -> DataFrame:
     """(mention key, entity_id, cost): the mentions whose text names exactly one entity.
 
-    entities: (id, canonical_name, aliases). Null or blank texts, keys, ids and names take no part; a key that repeats with
+    entities: (id, canonical_name, aliases); nicknames: further short forms of names (full, nick), folded, if the caller has
+    any. Null or blank texts, keys, ids and names take no part; a key that repeats with
     another text is linked only if its texts agree on one entity; equally cheap entities leave a text without a link. A word
     that belongs to no name costs 0.5, so texts of many words are names of nothing.
     """
-    spark = entities.sparkSession
     one = entities.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("canonical_name").alias("name"), F.lit(True).alias("canonical"))
     other = entities.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.explode("aliases").alias("name"), F.lit(False).alias("canonical"))
     tokens = one.unionByName(other).where(F.col("name").isNotNull()).distinct().mapInArrow(_tokens, "id string, canonical boolean, name string, place int, token string, folded string")
@@ -244,11 +200,10 @@ def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key",
         .join(heads.where("not canonical").select("id", "rest", F.col("folded").alias("nick")), ["id", "rest"])
         .where("full <> nick").select("full", "nick").distinct()
     )
-    public = spark.createDataFrame([(f, n) for line in NICKNAMES.splitlines() for f, *ns in [line.split()] for n in ns], "full string, nick string")
-    pairs = learned.unionByName(public)
-    forms = pairs.unionByName(pairs.select(F.col("nick").alias("full"), F.col("full").alias("nick"))).groupBy("full").agg(F.collect_set("nick").alias("forms"))
-    # distinctive are the rarest tokens, given names and words of kind, sector and law aside if there is any other
-    telling = F.col("full").isNull() & (F.length("folded") > 1) & ~F.col("folded").isin(*LEGAL, *KINDS, *SECTORS, *TITLES)
+    learned = learned if nicknames is None else learned.unionByName(nicknames.select("full", "nick")).distinct()
+    forms = learned.unionByName(learned.select(F.col("nick").alias("full"), F.col("full").alias("nick"))).groupBy("full").agg(F.collect_set("nick").alias("forms"))
+    # distinctive are the rarest tokens, given names and words of law aside if there is any other
+    telling = F.col("full").isNull() & (F.length("folded") > 1) & ~F.col("folded").isin(*LEGAL, *TITLES)
     each = Window.partitionBy("id", "name")
     known = tokens.join(frequency, "folded").join(forms, F.col("folded") == F.col("full"), "left").withColumn("telling", telling)
     least = known.withColumn("least", F.min(F.when(F.col("telling"), F.col("df"))).over(each)).withColumn("any", F.min(F.when(F.length("folded") > 1, F.col("df"))).over(each))
@@ -260,10 +215,16 @@ def link(mentions: DataFrame, entities: DataFrame, key_col: str = "mention_key",
     keys = F.when(F.length("folded") >= 4, F.concat(F.array("folded"), shorter)).otherwise(F.array("folded"))
     index = rated.where("rare").select("id", "name", F.explode(keys).alias("key")).distinct()
 
+    size = rated.agg(F.sum(F.when(F.col("rare"), F.length("folded") + 1)).alias("keys"), F.count("*").alias("tokens")).first()
+    few = lambda df, n: F.broadcast(df) if (n or 0) * ROW_BYTES <= BROADCAST_BYTES else df
+
+    spark = mentions.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = mentions.where(F.col(f"`{key_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{key_col}`").alias(key_col), F.col(f"`{text_col}`").alias("text")).distinct()
-    distinct = texts.select("text").distinct()
-    met = distinct.mapInArrow(_keys, "text string, key string").join(small(index), "key").select("text", "id", "name").distinct()
-    costs = met.join(small(names), ["id", "name"]).select("text", "id", "tokens").mapInArrow(_costs, "text string, id string, cost double")
+    # few bytes but costly: dealt to all tasks ahead of each pass in Python
+    distinct = texts.select("text").distinct().repartition(tasks)
+    met = distinct.mapInArrow(_keys, "text string, key string").join(few(index, size["keys"]), "key").select("text", "id", "name").distinct().repartition(tasks)
+    costs = met.join(few(names, size["tokens"]), ["id", "name"]).select("text", "id", "tokens").mapInArrow(lambda it: _costs(it, limit), "text string, id string, cost double")
     best = (
         costs.where(F.col("cost") <= limit).groupBy("text").agg(F.min(F.struct("cost", "id")).alias("low"), F.max(F.struct((-F.col("cost")).alias("c"), "id")).alias("high"))
         .where("low.id = high.id").select("text", F.col("low.id").alias("entity_id"), F.col("low.cost").alias("cost"))

@@ -8,10 +8,14 @@ ENTITIES = [
 ]
 
 
+#: Short forms that the entities' aliases do not teach.
+SHORT = [("daniel", "dan"), ("matthew", "matt"), ("margaret", "peggy")]
+
+
 def link(spark, texts):
     m = spark.createDataFrame([(n, t, "id", "cost") for n, t in enumerate(texts)], "mention_key long, text string, id string, cost string")
     e = spark.createDataFrame(ENTITIES, "id string, canonical_name string, aliases array<string>")
-    got = {r["mention_key"]: r["entity_id"] for r in names.link(m, e).collect()}
+    got = {r["mention_key"]: r["entity_id"] for r in names.link(m, e, nicknames=spark.createDataFrame(SHORT, "full string, nick string")).collect()}
     return [got.get(n) for n in range(len(texts))]
 
 
@@ -55,3 +59,10 @@ def test_distance(a, b, d):
 def test_deletions_meet_within_one_edit():
     for a, b in (("wenford", "wneford"), ("wenford", "wenfrd"), ("wenford", "wenfoord"), ("wenford", "wenfxrd")):
         assert {*names.deletions(a)} & {*names.deletions(b)}
+
+
+def test_a_wider_limit_is_honoured(spark):
+    """Three words too many cost 1.5, beyond what the standard limit lets an alignment follow to its end."""
+    e = spark.createDataFrame(ENTITIES, "id string, canonical_name string, aliases array<string>")
+    m = spark.createDataFrame([(1, "one two three four Daniel Ilmdiley")], "mention_key long, text string")
+    assert names.link(m, e).count() == 0 and [r["entity_id"] for r in names.link(m, e, limit=2.5).collect()] == ["p2"]
