@@ -1,7 +1,7 @@
 """Items over a size limit as pieces under it, cut at the most natural place there is, consecutive pieces sharing an overlap.
 
 Sizes are UTF-16 code units. The text of an item is its messages one after another. It is cut into atoms by a hierarchy of
-separators - message, paragraph, line, sentence, word, character - where only an atom that is still too large goes to the
+separators - message, section, paragraph, line, sentence, word, character - where only an atom that is still too large goes to the
 next level; atoms are then packed greedily. Each piece but the first starts with the last `overlap` units of the piece before
 it (one unit more rather than half a surrogate pair). Nothing is lost: without their overlaps the pieces are the text.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 20_000, 200
 #: Where an atom may end, from the largest unit to the smallest; the separator stays with what precedes it.
 LEVELS = (
+    # before a heading, after a rule, after a fenced block as a whole (headings inside one are none)
+    ("section", re.compile(r"^```[^\n]*\n(?:.*?\n)?```[ \t]*(?:\n+|\Z)|\n+(?=\#{1,6} |[^\n]+\n(?:={3,}|-{3,})[ \t]*\n)|\n(?:-{3,}|\*{3,}|_{3,})[ \t]*\n+", re.M | re.S)),
     ("paragraph", re.compile(r"\n[ \t\r]*\n\s*")),
     ("line", re.compile(r"\n+")),
     ("sentence", re.compile(r"[.!?…。！？]+[\"'»”’)\]]*\s+")),

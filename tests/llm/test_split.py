@@ -48,3 +48,14 @@ def test_table(spark):
     assert {r["id"] for r in out} == {"a", "e"}
     assert [r["piece_no"] for r in sorted(out, key=lambda r: (r["id"], r["piece_no"]))] == [1, 2, 1, 2]
     assert split.split(df.limit(0), "segment_id", "messages").count() == 0
+
+
+def test_sections_come_before_paragraphs():
+    words = "some words of text here. " * 12
+    block = "```\n# no heading here\n\n" + "code line\n" * 20 + "```\n"
+    text = f"{words}\n\n{words}\n# Second\n\n{words}\n{block}Title\n=====\n\n{words}\n***\n{words}"
+    got = split.pieces([text], limit=700, overlap=0)
+    assert "".join(p[0] for p in got) == text
+    starts = [p[0].lstrip("\n") for p in got]
+    assert starts[1].startswith("# Second") and any(x.startswith("Title\n=====") for x in starts) and not any(x.startswith("# no heading") for x in starts)
+    assert {p[3] for p in got[:-1]} == {"section"}
