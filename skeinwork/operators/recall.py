@@ -1,9 +1,8 @@
 """Recall: the claims nearest to query vectors, what touches the same entities, and both grouped by meaning and scored.
 
-Queries are a stated set; they are taken in blocks of bounded size, each block one pass over the claims. A claim meets all
-queries of the block in one matrix product inside an Arrow batch, which keeps the k best per query, so what is shuffled is k
-rows per query and batch, never the product. Neighbours are found in the same way: a claim meets just those queries that have
-one of its entities as a seed, and the hot entity of a tenth of all claims is cut down to k per query within each batch.
+Queries are a stated set; they are taken in blocks of bounded size, each block one broadcast and one pass over the claims. A
+claim meets all queries of the block in one matrix product inside an Arrow batch; a task keeps the k best per query over all
+its batches. Neighbours are found in the same way: a claim meets just those queries that have one of its entities as a seed.
 """
 
 from __future__ import annotations
@@ -19,14 +18,17 @@ from pyspark.sql import functions as F
 from skeinwork.functions.scoring import recall_score
 from skeinwork.session import cut, small
 
-BLOCK = 2_048
+#: Queries of one pass: of nearest claims, and of neighbours (each has up to two seeds per direct claim).
+BLOCK, SEEDED = 32_768, 4_096
 
 
 def usable(items: DataFrame, dim: int, id_col: str, vector_col: str, keep: list[str]) -> DataFrame:
-    """Rows with an id and a vector of `dim` finite values and some length, one per id: (id, vector, kept columns)."""
+    """(id, vector, kept columns) of the rows with an id and a vector of `dim` finite values and some length, one per id: of
+    rows that differ the greatest."""
     v = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < 1e18)) & F.exists(v, lambda x: x != 0)
-    return items.where(fine).select(F.col(id_col).alias("id"), v.cast("array<float>").alias("vector"), *keep)
+    rows = items.where(fine).select(F.col(id_col).alias("id"), F.struct(v.cast("array<float>").alias("vector"), *keep).alias("s"))
+    return rows.groupBy("id").agg(F.max("s").alias("s")).select("id", "s.vector", *(F.col(f"s.{c}").alias(c) for c in keep))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def blocks(queries: DataFrame, dim: int, block: int = BLOCK) -> Iterator[tuple[list, np.ndarray]]:
+def blocks(queries: DataFrame, dim: int, block: int) -> Iterator[tuple[list, np.ndarray]]:
     """The queries (query, vector) in blocks: names and unit vectors. Reads a block at a time."""
     rows = queries.select("query", "vector").sort("query").toLocalIterator(prefetchPartitions=False)
     names, vectors = [], []
@@ -51,39 +53,69 @@ def blocks(queries: DataFrame, dim: int, block: int = BLOCK) -> Iterator[tuple[l
         yield names, _unit(np.array(vectors, float))
 
 
-def _best(similarity: np.ndarray, ids: list[str], k: int) -> Iterator[tuple[int, int]]:
-    """(query, row) of the k highest of each query's row, ties to the smaller id."""
-    for q in range(len(similarity)):
-        s = similarity[q]
-        if len(s) > k:
-            least = np.partition(s, len(s) - k)[len(s) - k]
-            at = np.flatnonzero(s >= least)
-        else:
-            at = np.arange(len(s))
-        for i in sorted(at.tolist(), key=lambda i: (-s[i], ids[i]))[:k]:
-            yield q, i
+class Best:
+    """The k highest similarities of each of `n` numbered places seen so far, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.place, self.similarity, self.id = np.empty(0, np.int64), np.empty(0), np.empty(0, "S1")
+        #: What a place's similarity must reach to be among its k highest.
+        self.least = np.full(n, -np.inf)
+
+    def offer(self, place: np.ndarray, similarity: np.ndarray, ids: np.ndarray) -> None:
+        if not len(place):
+            return
+        place, similarity, ids = np.concatenate([self.place, place]), np.concatenate([self.similarity, similarity]), np.concatenate([self.id, ids])
+        order = np.lexsort((ids, -similarity, place))
+        place = place[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        keep = order[rank < self.k]
+        last = order[rank == self.k - 1]
+        self.least[place[rank == self.k - 1]] = similarity[last]
+        self.place, self.similarity, self.id = place[rank < self.k], similarity[keep], ids[keep]
+
+    def scores(self, first: int, s: np.ndarray, ids: np.ndarray) -> None:
+        """Offers a matrix of similarities, a row for each place from `first` on."""
+        bound = self.least[first : first + len(s)]
+        if s.shape[1] > self.k:
+            bound = np.maximum(bound, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+        row, col = np.nonzero(s >= bound[:, None])
+        self.offer(row + first, s[row, col], ids[col])
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as bytes, whose order is that of the texts."""
+    return np.array([i.encode() for i in column.to_pylist()])
 
 
 def nearest(queries: DataFrame, items: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query, id, similarity, place): for each query (query, vector) the k items (id, vector) of highest cosine similarity."""
+    """(query, id, similarity, place): for each query (query, vector) the k items (id, vector) of highest cosine similarity.
+
+    One pass over the items for every BLOCK queries. A task keeps the k best of each query over all its rows and yields them
+    at its end, so no more than partitions x queries x k rows are shuffled.
+    """
     name_type = queries.schema["query"].dataType.simpleString()
+    sc = queries.sparkSession.sparkContext
     parts = []
-    for names, q in blocks(queries, dim):
+    for names, q in blocks(queries, dim, BLOCK):
+        held = sc.broadcast((names, q))
 
-        def scan(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, q = held.value
+            best = Best(len(names), k)
             for batch in batches:
                 if batch.num_rows:
-                    ids = batch.column(0).to_pylist()
-                    s = q @ _unit(_matrix(batch.column(1), dim)).T
-                    pairs = list(_best(s, ids, k))
-                    yield pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in pairs]), pa.array([ids[b] for _, b in pairs]), pa.array([s[a, b] for a, b in pairs])], ["query", "id", "similarity"])
+                    ids, x = _ids(batch.column(0)), _unit(_matrix(batch.column(1), dim)).T
+                    for lo in range(0, len(q), 256):
+                        best.scores(lo, q[lo : lo + 256] @ x, ids)
+            if len(best.place):
+                yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in best.place.tolist()]), pa.array([i.decode() for i in best.id.tolist()]), pa.array(best.similarity)], ["query", "id", "similarity"])
 
         parts.append(items.select("id", "vector").mapInArrow(scan, f"query {name_type}, id string, similarity double"))
     if not parts:
         return queries.sparkSession.createDataFrame([], f"query {name_type}, id string, similarity double, place int")
-    every = reduce(DataFrame.unionByName, parts).distinct()
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return every.withColumn("place", place).where(F.col("place") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= k)
 
 
 def seeds(direct: DataFrame) -> DataFrame:
@@ -95,53 +127,92 @@ def seeds(direct: DataFrame) -> DataFrame:
 def neighbours(queries: DataFrame, seeded: DataFrame, items: DataFrame, dim: int, k: int) -> DataFrame:
     """(query, entity, id, similarity, seed): for each seed the k claims touching its entity that are nearest to the query.
 
-    items: (id, vector, subject_entity_id, object_entity_id). Direct claims may come again. The seeds of a block of queries
-    are few (two per direct claim) and travel with it.
+    items: (id, vector, subject_entity_id, object_entity_id). Direct claims may come again. One pass over the items for every
+    SEEDED queries; their seeds are few (two per direct claim) and travel with them. A task keeps the k best of each seed, so
+    the hot entity of a tenth of all claims yields k rows per seed and task.
     """
     name_type = queries.schema["query"].dataType.simpleString()
+    sc = queries.sparkSession.sparkContext
+    seeded = cut(seeded)
     parts = []
-    for names, q in blocks(queries, dim):
+    for names, q in blocks(queries, dim, SEEDED):
         place = {n: i for i, n in enumerate(names)}
-        held = seeded.join(small(queries.sparkSession.createDataFrame([(n,) for n in names], f"query {name_type}")), "query").toArrow()
-        of: dict[str, list[tuple[int, float]]] = {}
-        for n, e, s in zip(*(held.column(c).to_pylist() for c in ("query", "entity", "seed")), strict=True):
-            of.setdefault(e, []).append((place[n], s))
-
-        def scan(batches: Iterator[pa.RecordBatch], names=names, q=q, of=of) -> Iterator[pa.RecordBatch]:
+        wanted = seeded.where(F.col("query").between(names[0], names[-1])).toArrow()
+        rows = list(zip(*(wanted.column(c).to_pylist() for c in ("query", "entity", "seed")), strict=True))
+        of: dict[str, list[int]] = {}
+        for n, (_, e, _) in enumerate(rows):
+            of.setdefault(e, []).append(n)
+        held = sc.broadcast((q, rows, np.array([place[n] for n, _, _ in rows], np.int64), {e: np.array(at) for e, at in of.items()}))
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q, rows, query, of = held.value
+            best = Best(len(rows), k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, x = batch.column(0).to_pylist(), None
                 touching: dict[str, list[int]] = {}
                 for i, ends in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                     for e in {*ends} & of.keys():
                         touching.setdefault(e, []).append(i)
-                rows = []
+                if not touching:
+                    continue
+                ids, x = _ids(batch.column(0)), _unit(_matrix(batch.column(1), dim))
+                places, similarities, found = [], [], []
                 for e, at in touching.items():
-                    x = _unit(_matrix(batch.column(1), dim)) if x is None else x
-                    s = q[[a for a, _ in of[e]]] @ x[at].T
-                    rows += [(names[of[e][a][0]], e, ids[at[b]], s[a, b], of[e][a][1]) for a, b in _best(s, [ids[i] for i in at], k)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["query", "entity", "id", "similarity", "seed"])
+                    seeds_of, part = of[e], x[at].T
+                    for lo in range(0, len(seeds_of), 256):
+                        these = seeds_of[lo : lo + 256]
+                        s = q[query[these]] @ part
+                        bound = best.least[these]
+                        if s.shape[1] > k:
+                            bound = np.maximum(bound, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                        row, col = np.nonzero(s >= bound[:, None])
+                        places.append(these[row])
+                        similarities.append(s[row, col])
+                        found.append(ids[np.array(at)[col]])
+                best.offer(np.concatenate(places), np.concatenate(similarities), np.concatenate(found))
+            if len(best.place):
+                of_row = [rows[n] for n in best.place.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in of_row]), pa.array([r[1] for r in of_row]), pa.array([i.decode() for i in best.id.tolist()]), pa.array(best.similarity), pa.array([r[2] for r in of_row])], ["query", "entity", "id", "similarity", "seed"])
 
         parts.append(items.select("id", "vector", "subject_entity_id", "object_entity_id").mapInArrow(scan, f"query {name_type}, entity string, id string, similarity double, seed double"))
     if not parts:
         return queries.sparkSession.createDataFrame([], f"query {name_type}, entity string, id string, similarity double, seed double")
-    every = reduce(DataFrame.unionByName, parts).distinct()
     place = F.row_number().over(Window.partitionBy("query", "entity").orderBy(F.desc("similarity"), "id"))
-    return every.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def support(claims: DataFrame, segments: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """(equivalence_key, segment_ids, support_count, session_count) over all claims of known segments.
+def support_counts(claims: DataFrame, segments: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(equivalence_key, support_count, session_count) over all claims of known segments.
 
-    Distinct segments come first, so counting needs no expansion; a hot key is reduced before its shuffle.
+    Pairs of key and segment, and of key and session, are made distinct and then counted: each step is combined before its
+    shuffle, so nothing is expanded or gathered.
     """
     rows = claims.select("equivalence_key", "segment_id").where("equivalence_key is not null")
     if keys is not None:
         rows = rows.join(small(keys), "equivalence_key", "left_semi")
     pairs = rows.distinct().join(segments.select("segment_id", "session_id").distinct(), "segment_id")
-    return pairs.groupBy("equivalence_key").agg(F.array_sort(F.collect_set("segment_id")).alias("segment_ids"), F.count_distinct("segment_id").alias("support_count"), F.count_distinct("session_id").alias("session_count"))
+    # a segment known under two sessions counts once; a null session is none
+    counted = pairs.select("equivalence_key", "segment_id").distinct().groupBy("equivalence_key").agg(F.count("*").alias("support_count"))
+    sessions = pairs.where("session_id is not null").select("equivalence_key", "session_id").distinct().groupBy("equivalence_key").agg(F.count("*").alias("session_count"))
+    return counted.join(sessions, "equivalence_key", "left").select("equivalence_key", "support_count", F.coalesce("session_count", F.lit(0).cast("long")).alias("session_count"))
+
+
+def supporting(claims: DataFrame, segments: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(equivalence_key, segment_id): the segments that support each key, a row each, however many a hot key has."""
+    rows = claims.select("equivalence_key", "segment_id").where("equivalence_key is not null")
+    if keys is not None:
+        rows = rows.join(small(keys), "equivalence_key", "left_semi")
+    return rows.distinct().join(segments.select("segment_id").distinct(), "segment_id", "left_semi").select("equivalence_key", "segment_id")
+
+
+def support(claims: DataFrame, segments: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(equivalence_key, segment_ids, support_count, session_count): counts, and the segments of each key as one sorted list.
+
+    For the keys a caller asks for; over all claims use `support_counts` and `supporting`, which gather nothing.
+    """
+    lists = supporting(claims, segments, keys).groupBy("equivalence_key").agg(F.array_sort(F.collect_list("segment_id")).alias("segment_ids"))
+    return support_counts(claims, segments, keys).join(lists, "equivalence_key").select("equivalence_key", "segment_ids", "support_count", "session_count")
 
 
 def recall(queries: DataFrame, claims: DataFrame, segments: DataFrame, dim: int, direct_k: int = 10, neighbour_k: int = 10, limit: int = 20) -> DataFrame:
@@ -155,7 +226,7 @@ def recall(queries: DataFrame, claims: DataFrame, segments: DataFrame, dim: int,
     around = neighbours(queries, seeds(direct.join(ends, "id")), claims, dim, neighbour_k)
     offered = direct.select("query", "id", "similarity", F.lit(None).cast("double").alias("seed"), F.lit(True).alias("is_direct")).unionByName(around.select("query", "id", "similarity", "seed", F.lit(False).alias("is_direct")))
     rows = cut(offered.join(claims.select("id", "confidence", "equivalence_key", "segment_id"), "id"))
-    counted = support(claims, segments, rows.select("equivalence_key").distinct())
+    counted = support(claims, segments, rows.select("equivalence_key").distinct())  # as many keys as there are candidates
     scored = rows.join(counted, "equivalence_key", "left").withColumn("score", F.round(recall_score(F.col("is_direct"), F.col("similarity"), F.col("seed"), F.col("confidence"), F.col("session_count")), 9))
     order = [F.desc("score"), F.desc("is_direct"), F.asc("id")]
     one = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query", "equivalence_key").orderBy(*order))).where("rn = 1")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import ids, scoring
 from skeinwork.operators import recall
-from skeinwork.session import read
+from skeinwork.session import cut, read
 
 DIM = 64
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ["subject_entity_id", "object_entity_id", "confidence", "equivalence_key", "segment_id"]
-    return recall.usable(read(spark, sf_dir, "claims"), DIM, "id", "embedding", keep).dropDuplicates(["id"])
+    return recall.usable(read(spark, sf_dir, "claims"), DIM, "id", "embedding", keep)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,19 +32,22 @@ def vector_topk_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = recall.usable(read(spark, sf_dir, "entities"), DIM, "id", "embedding", []).dropDuplicates(["id"])
+    items = recall.usable(read(spark, sf_dir, "entities"), DIM, "id", "embedding", [])
     return recall.nearest(_queries(spark, sf_dir), items, DIM, 5).select("query", "id", F.round("similarity", 6).alias("similarity"), "place")
 
 
 def graph_one_hop_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _queries(spark, sf_dir), _claims(spark, sf_dir)
-    direct = recall.nearest(q, c, DIM, 10).join(c.select("id", "subject_entity_id", "object_entity_id"), "id")
+    direct = cut(recall.nearest(q, c, DIM, 10)).join(c.select("id", "subject_entity_id", "object_entity_id"), "id")
     return recall.neighbours(q, recall.seeds(direct), c, DIM, 10).select("query", "entity", "id", F.round("similarity", 6).alias("similarity"), F.round("seed", 6).alias("seed"))
 
 
 def claim_support_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recall.support(read(spark, sf_dir, "claims"), read(spark, sf_dir, "segment_requests"))
-    return found.select("equivalence_key", F.array_join("segment_ids", ",").alias("segment_ids"), "support_count", "session_count")
+    return recall.support_counts(read(spark, sf_dir, "claims"), read(spark, sf_dir, "segment_requests"))
+
+
+def claim_support_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.supporting(read(spark, sf_dir, "claims"), read(spark, sf_dir, "segment_requests"))
 
 
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +126,8 @@ sim AS (SELECT query, id, list_dot_product(q.w, u.w) / sqrt(list_dot_product(u.w
 SELECT query, id, round(similarity, 6) AS similarity, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM sim) WHERE place <= 5
 """,
     "graph_one_hop_neighbors": _VECTORS + "SELECT query, entity, id, round(similarity, 6) AS similarity, round(seed, 6) AS seed FROM near",
-    "claim_support_counts": _SUPPORT,
+    "claim_support_counts": f"SELECT equivalence_key, support_count, session_count FROM ({_SUPPORT})",
+    "claim_support_segments": "SELECT DISTINCT equivalence_key, segment_id FROM claims WHERE equivalence_key IS NOT NULL AND segment_id IN (SELECT segment_id FROM segment_requests WHERE segment_id IS NOT NULL)",
     "source_fingerprint": """
 SELECT DISTINCT segment_id, sha256('source-v1:' || strlen(session_id) || ':' || session_id || strlen(start_user_message_id) || ':' || start_user_message_id || strlen(end_user_message_id) || ':' || end_user_message_id
   || len(messages) || ':' || list_aggregate(list_transform(messages, lambda m: strlen(m.role) || ':' || m.role || strlen(m.text) || ':' || m.text), 'string_agg', '')) AS fingerprint
@@ -142,4 +146,4 @@ SELECT p_partkey, usable::BIGINT AS usable, hard::BIGINT AS hard, greatest(0, le
 """,
 }
 
-QUERIES = {f.__name__: f for f in (recall_grouped_topk, vector_topk_direct, vector_topk_entities, graph_one_hop_neighbors, claim_support_counts, source_fingerprint, projection_fingerprint, uuid5_segment_ids, equivalence_keys, context_limits)}
+QUERIES = {f.__name__: f for f in (recall_grouped_topk, vector_topk_direct, vector_topk_entities, graph_one_hop_neighbors, claim_support_counts, claim_support_segments, source_fingerprint, projection_fingerprint, uuid5_segment_ids, equivalence_keys, context_limits)}

@@ -24,7 +24,7 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by trigrams, and vectors of the embedding of the same number."""
     q = read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query"), F.col("embedding").alias("vector"))
-    items = recall.usable(read(spark, sf_dir, "entities"), 64, "id", "embedding", []).dropDuplicates(["id"])
+    items = recall.usable(read(spark, sf_dir, "entities"), 64, "id", "embedding", [])
     near = candidates.by_trigrams(_mentions(spark, sf_dir), candidates.entity_names(read(spark, sf_dir, "entity_candidates")))
     return candidates.union(near, recall.nearest(q, items, 64, candidates.EACH))
 
@@ -48,8 +48,9 @@ def copied_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unsupported_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers in a claim that its segment's texts do not have."""
-    sources = read(spark, sf_dir, "segment_requests").select("segment_id", F.array_join("messages.text", "\n").alias("source")).dropDuplicates(["segment_id"])
-    c = read(spark, sf_dir, "claims").select("id", "segment_id", F.concat_ws("\n", "subject", "predicate", "object_entity", "object_value").alias("output")).dropDuplicates(["id"])
+    sources = read(spark, sf_dir, "segment_requests").select("segment_id", F.array_join("messages.text", "\n").alias("source")).groupBy("segment_id").agg(F.max("source").alias("source"))
+    c = read(spark, sf_dir, "claims").select("id", "segment_id", F.concat_ws("\n", "subject", "predicate", "object_entity", "object_value").alias("output"))
+    c = c.groupBy("id").agg(F.max(F.struct("segment_id", "output")).alias("s")).select("id", "s.segment_id", "s.output")
     return c.join(sources, "segment_id").select("id", F.explode(text.unsupported(F.col("output"), F.col("source"))).alias("identifier"))
 
 
