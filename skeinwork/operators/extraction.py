@@ -110,7 +110,7 @@ def prepared(claims: DataFrame, known: DataFrame, embedder: Embedder = hashed_gr
     return embedded(done, "shown", embedder).drop("shown"), embedded(entities, "canonical_name", embedder)
 
 
-def commit(store: Snapshots, segments: DataFrame, claims: DataFrame, entities: DataFrame, base: int | None = None, mark: str = "") -> int:
+def commit(store: Snapshots, segments: DataFrame, claims: DataFrame, entities: DataFrame, base: int | None = None, mark: tuple[str, str] | None = None) -> int:
     """Puts segments with all their claims and entities in place of what was stored of them, as one new version.
 
     Claims of a segment are replaced, segments and entities updated by id, and entities that only replaced claims named are

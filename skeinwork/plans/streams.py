@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators import changefeed
-from skeinwork.session import read
+from skeinwork.session import cut, read, shared_folder
 from skeinwork.sources.snapshots import Snapshots
 from skeinwork.streaming import events as ev
 
@@ -54,8 +53,7 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_change_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed read as a stream and folded batch by batch into a snapshot; the rows that exist at the end."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinwork-stream-")
-    root = f"{shared.rstrip('/')}/change-fold-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/change-fold-{uuid.uuid4().hex}"
     order, payload = ["source_generation", "attempts"], ["source_fingerprint"]
     store = Snapshots(spark, f"{root}/state")
     feed = spark.readStream.schema(read(spark, sf_dir, "job_changes").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/job_changes.parque[t]")
@@ -64,7 +62,9 @@ def stream_change_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = store.read("jobs")
     if state is None:
         state = changefeed.fold(read(spark, sf_dir, "job_changes").limit(0), "segment_id", order, payload)
-    return changefeed.current(state, "segment_id", order, payload).select("segment_id", "source_generation", "source_fingerprint")
+    live = cut(changefeed.current(state, "segment_id", order, payload).select("segment_id", "source_generation", "source_fingerprint"))
+    store.remove(root)
+    return live
 
 
 _WINDOWS = """SELECT w AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT *, unnest({}) AS w FROM events) GROUP BY ALL"""

@@ -238,8 +238,8 @@ b AS (SELECT * FROM r UNION ALL SELECT s.session_id, segment_id, j.kind, j.creat
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, segment_id, kind DESC, source_generation ASC NULLS LAST)::INT AS place, segment_id, kind, version, source_generation FROM b""",
     "prior_segments": """WITH r AS (SELECT session_id, segment_id, min(created_at) AS made FROM segment_requests GROUP BY ALL)
 SELECT session_id, segment_id, (row_number() OVER w - 1)::INT AS prior, lag(segment_id) OVER w AS last_prior FROM r WINDOW w AS (PARTITION BY session_id ORDER BY made, segment_id)""",
-    "segment_status_counts": """WITH r AS (SELECT DISTINCT segment_id, len(messages) AS n FROM segment_requests)
-SELECT CASE WHEN segment_id IN (SELECT segment_id FROM job_changes WHERE lower(op) IN ('d', 'delete') AND segment_id IS NOT NULL) THEN 'stale' WHEN segment_id IN (SELECT segment_id FROM claims WHERE segment_id IS NOT NULL) THEN 'known' ELSE 'new' END AS status,
+    "segment_status_counts": f"""WITH r AS (SELECT DISTINCT segment_id, len(messages) AS n FROM segment_requests), gone AS ({changes.SQL["p5_tombstones"]})
+SELECT CASE WHEN segment_id IN (SELECT segment_id FROM gone) THEN 'stale' WHEN segment_id IN (SELECT segment_id FROM claims WHERE segment_id IS NOT NULL) THEN 'known' ELSE 'new' END AS status,
 count(*) AS segments, sum(n)::BIGINT AS messages FROM r GROUP BY 1""",
     "edge_support": "SELECT l_partkey, l_suppkey, count(DISTINCT l_orderkey) AS orders, count(DISTINCT o_custkey) AS customers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
 }

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.operators import changefeed
-from skeinwork.sources.snapshots import Snapshots
+from skeinwork.sources.snapshots import Snapshots, bucket_of
 
 GAP, LATE = "10 minutes", "1 hour"
+#: Buckets that a folded state is kept in.
+BUCKETS = 64
 
 
 def timed(events: DataFrame, at: str, late: str) -> DataFrame:
@@ -47,15 +49,20 @@ def inactive(events: DataFrame, key: str, at: str, as_of: str, minutes: int = 10
     return last.where(F.col("last") <= F.lit(as_of).cast(events.schema[at].dataType) - F.expr(f"INTERVAL {minutes} MINUTES"))
 
 
-def fold_into(store: Snapshots, table: str, key: str, order: list[str], payload: list[str], op: str = "op") -> Callable[[DataFrame, int], None]:
+def fold_into(store: Snapshots, table: str, key: str, order: list[str], payload: list[str], op: str = "op", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A sink for `foreachBatch`: folds each batch of changes into the state kept in a snapshot table.
 
-    The fold is idempotent and the commit marked with the batch's number, so a batch that is run again after a failure
-    changes nothing.
+    The state is kept in buckets by key, and a batch rewrites only those its keys fall into. The fold is idempotent and the
+    commit marked with the batch's number, so a batch that is run again after a failure changes nothing.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        state = changefeed.fold(batch, key, order, payload, op, store.read(table))
-        store.commit({table: state}, mark=f"{table}-{number}")
+        rows = batch.where(F.col(key).isNotNull())
+        touched = [r["b"] for r in rows.select(bucket_of(key, buckets).alias("b")).distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        version = store.version
+        state = changefeed.fold(rows, key, order, payload, op, store.read(table, touched, version))
+        store.commit({}, version, (table, str(number)), {table: (state.withColumn("_bucket", bucket_of(key, buckets)), buckets)})
 
     return sink

@@ -103,8 +103,8 @@ def test_tables(spark):
 def test_snapshots(spark, tmp_path):
     store = Snapshots(spark, str(tmp_path / "store"))
     assert store.version == 0 and store.read("t") is None
-    assert store.commit({"t": spark.range(3), "u": spark.range(1)}, base=0, mark="one") == 1
-    assert store.commit({"t": spark.range(5)}, mark="one") == 1 and store.read("t").count() == 3
+    assert store.commit({"t": spark.range(3), "u": spark.range(1)}, base=0, mark=("w", "one")) == 1
+    assert store.commit({"t": spark.range(5)}, mark=("w", "one")) == 1 and store.read("t").count() == 3
     assert store.commit({"t": store.read("t").where("id > 0")}, base=1) == 2
     assert (store.read("t").count(), store.read("u").count()) == (2, 1)
     with pytest.raises(Conflict):
@@ -180,6 +180,36 @@ def test_prior_texts_of_a_long_session_are_all_there(spark):
     assert {r["segment_id"]: len(r["prior"]) for r in extraction.prior_texts(df).collect()} == {f"g{n:02}": n for n in range(61)}
 
 
+def test_two_writers_from_one_version(spark, tmp_path):
+    """One wins, the other gets a Conflict and leaves nothing behind; what the first wrote is whole."""
+    first, second = (Snapshots(spark, str(tmp_path / "store")) for _ in range(2))
+    first.commit({"t": spark.range(3), "u": spark.range(9)})
+    claim = second._claim
+
+    def late(version, content):
+        first.commit({"t": spark.range(4)}, mark=("a", "1"))
+        claim(version, content)
+
+    second._claim = late
+    with pytest.raises(Conflict):
+        second.commit({"t": spark.range(5)})
+    assert first.version == 2 and first.read("t").count() == 4 and first.read("u").count() == 9 and first.read("t", version=1).count() == 3
+    second._claim = claim
+    assert second.commit({"u": spark.range(1)}, mark=("b", "1")) == 3 and first.commit({"t": spark.range(1)}, mark=("a", "1")) == 3
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 3
+    assert first.tidy(keep=1) == 2 and first.read("t").count() == 4 and first.read("u").count() == 1
+
+
+def test_buckets_that_are_not_touched_stay(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"))
+    every = spark.range(100).withColumn("_bucket", (F.col("id") % 4).cast("int"))
+    store.commit({}, bucketed={"t": (every, 4)})
+    before = store.tables()
+    store.commit({}, bucketed={"t": (every.where("_bucket = 1 and id < 10"), 4)})
+    assert {n for n, p in store.tables().items() if before[n] != p} == {"t/1"}
+    assert store.read("t").count() == 78 and store.read("t", [1]).count() == 3
+
+
 def test_numbers_of_a_group_that_spans_partitions(spark):
     rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", i) for i in range(4000)]
     df = spark.createDataFrame(rows, "g string, i long").repartition(9)
