@@ -7,7 +7,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
+
+from skeinwork.functions.scoring import CHARS_PER_TOKEN, MEDIA_TOKENS
 
 #: What separates words: Unicode white space and the four ASCII information separators.
 _SPACE = "(?U)[\\s\\x{1c}-\\x{1f}]+"
@@ -45,10 +47,14 @@ def normalize_name_exact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(t.casefold().split()))
 
 
+# Where words of a predicate in code style meet, after an acronym and at a hump.
+_AFTER_ACRONYM, _HUMP = "([A-Z]{3,})([A-Z][a-z]{2,})", "(?<=[a-z])(?=[A-Z])"
+
+
 def normalize_predicate(predicate: Column) -> Column:
     """A predicate in code style as natural words."""
-    spaced = F.regexp_replace(F.replace(predicate, F.lit("_"), F.lit(" ")), "([A-Z]{3,})([A-Z][a-z]{2,})", "$1 $2")
-    return collapse(F.lower(F.regexp_replace(spaced, "(?<=[a-z])(?=[A-Z])", " ")))
+    spaced = F.regexp_replace(F.replace(predicate, F.lit("_"), F.lit(" ")), _AFTER_ACRONYM, "$1 $2")
+    return collapse(F.lower(F.regexp_replace(spaced, _HUMP, " ")))
 
 
 def natural_predicate(predicate: Column) -> Column:
@@ -105,22 +111,124 @@ def first_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def _sanitized(value: object, depth: int = 0) -> object:
-    if depth > 8:
-        return "[nested value omitted]"
-    if isinstance(value, str):
-        return "[data URL omitted]" if value.startswith("data:") else value
-    if isinstance(value, list):
-        return [_sanitized(v, depth + 1) for v in value]
-    return {k: _sanitized(v, depth + 1) for k, v in value.items()} if isinstance(value, dict) else value
+# What stands for content that is left out, and how deep a value may be nested.
+NESTED_MARK, DATA_URL_MARK, CLEARED_MARK, DEEPEST = "[nested value omitted]", "[data URL omitted]", "[Old tool result content cleared]", 8
+
+
+def trimmed_value(root: object) -> object:
+    """A copy of a JSON value in which what is nested too deeply and texts that are data URLs are replaced by their marks.
+
+    Works through an explicit list of places still to fill, so that no depth of input can exhaust the stack.
+    """
+    top: list = [root]
+    open_: list[tuple[list | dict, object, int]] = [(top, 0, 0)]
+    while open_:
+        holder, at, depth = open_.pop()
+        value = holder[at]
+        if depth > DEEPEST:
+            holder[at] = NESTED_MARK
+        elif isinstance(value, str):
+            if value.startswith("data:"):
+                holder[at] = DATA_URL_MARK
+        elif isinstance(value, (list, dict)):
+            holder[at] = fresh = value.copy()
+            open_ += [(fresh, k, depth + 1) for k in (fresh if isinstance(fresh, dict) else range(len(fresh)))]
+    return top[0]
+
+
+def compact_json(value: object) -> str:
+    """JSON without blanks, whole numbers without a fraction."""
+    def whole(x: object) -> object:
+        if isinstance(x, float) and x.is_integer() and abs(x) < 1e21:
+            return int(x)
+        return [whole(v) for v in x] if isinstance(x, list) else {k: whole(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    return json.dumps(whole(value), separators=(",", ":"), ensure_ascii=False)
+
+
+def _parsed(t: str | None) -> object:
+    try:
+        return None if t is None else json.loads(t)
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(StringType())
 def sanitized_json(text: pd.Series) -> pd.Series:
-    """JSON without data URLs and without what lies deeper than eight levels."""
-    return text.map(lambda t: None if t is None else json.dumps(_sanitized(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+    """JSON without data URLs and without what lies deeper than eight levels; null where it is no JSON."""
+    return text.map(lambda t: None if t is None or (v := _parsed(t)) is None else compact_json(trimmed_value(v)))
+
+
+def _compacted(state: object) -> bool:
+    time = state.get("time") if isinstance(state, dict) else None
+    stamp = time.get("compacted") if isinstance(time, dict) else None
+    return isinstance(stamp, (int, float)) and not isinstance(stamp, bool)
+
+
+def shown_state(state: object) -> object:
+    """A tool's state as a model sees it: the output of a compacted one is cleared, then values are trimmed."""
+    return trimmed_value({**state, "output": CLEARED_MARK} if _compacted(state) else state)
+
+
+@F.pandas_udf(StringType())
+def tool_state_json(state: pd.Series) -> pd.Series:
+    """The state (JSON) of a tool part as a model sees it; `null` where there is none or it is no JSON."""
+    return state.map(lambda t: compact_json(shown_state(_parsed(t))))
+
+
+def data_url_bytes(url: Column) -> Column:
+    """Size of a data URL's content in bytes: of base64 three for four characters, rounded up, else its UTF-8 length. Null for other URLs."""
+    comma = F.locate(",", url)
+    head, payload = F.substring(url, F.lit(1), comma - 1), F.substring(url, comma + 1, F.length(url))
+    size = F.when(head.endswith(";base64"), F.ceil(utf16_length(payload) * 3 / 4)).otherwise(F.octet_length(payload))
+    return F.when(url.startswith("data:") & (comma > 0), size.cast("long"))
+
+
+def media_tokens(mime: Column, url: Column) -> Column:
+    """What a file weighs in tokens: an image a fixed number, a data URL a token for two bytes but no less than an image; else infinitely many."""
+    size = data_url_bytes(url)
+    other = F.when(size.isNotNull(), F.greatest(F.lit(float(MEDIA_TOKENS)), F.ceil(size / 2).cast("double"))).otherwise(float("inf"))
+    return F.when(F.coalesce(mime, F.lit("")).startswith("image/"), float(MEDIA_TOKENS)).otherwise(other)
+
+
+def media_tokens_of(part: object) -> float:
+    """The same of a JSON object with mime and url."""
+    if not isinstance(part, dict):
+        return float("inf")
+    if str(part.get("mime") if isinstance(part.get("mime"), str) else "").startswith("image/"):
+        return float(MEDIA_TOKENS)
+    url = part.get("url")
+    if not isinstance(url, str) or not url.startswith("data:") or "," not in url:
+        return float("inf")
+    head, payload = url.split(",", 1)
+    units = len(payload) + sum(c > "\uffff" for c in payload)
+    size = -(-units * 3 // 4) if head.endswith(";base64") else len(payload.encode())
+    return float(max(MEDIA_TOKENS, -(-size // 2)))
+
+
+def tool_weight_of(state: str | None) -> float:
+    """UTF-16 units of a tool's shown state as JSON, and four for each token of the attachments of a completed one."""
+    value = _parsed(state)
+    shown = compact_json(shown_state(value))
+    weight = float(len(shown) + sum(c > "\uffff" for c in shown))
+    if isinstance(value, dict) and value.get("status") == "completed" and not _compacted(value) and isinstance(value.get("attachments"), list):
+        weight += CHARS_PER_TOKEN * sum(media_tokens_of(a) for a in value["attachments"])
+    return weight
+
+
+@F.pandas_udf(DoubleType())
+def tool_state_weight(state: pd.Series) -> pd.Series:
+    return state.map(tool_weight_of).astype(float)
+
+
+def typed_json(text: Column, kind: str) -> Column:
+    """A JSON text if its value is of a kind (`array`, `object`, `string`, `number`, `boolean`), else null."""
+    value = F.try_parse_json(text)
+    shape = F.lower(F.schema_of_variant(value))
+    of = {"array": shape.startswith("array"), "object": shape.startswith("object"), "string": shape == "string", "boolean": shape == "boolean"}
+    return F.when(of.get(kind, shape.rlike("^(bigint|decimal|double|float|int)")), text)
 
 
 def redacted(text: Column, secret: Column, most: int = 500) -> Column:
     """A message for the log: the secret replaced, white space collapsed, cut to size."""
-    return F.left(collapse(F.when(secret != "", F.replace(text, secret, F.lit("[redacted]"))).otherwise(text)), F.lit(most))
+    return F.left(collapse(F.when(secret != "", F.replace(text, secret, F.lit("[REDACTED]"))).otherwise(text)), F.lit(most))

@@ -34,6 +34,23 @@ class Packer:
         return self.run, ended
 
 
+class BoundPacker(Packer):
+    """Packs rows between bounds like Packer, and puts rows of one bound into a run of their own."""
+
+    def __init__(self, limit: float):
+        super().__init__(limit)
+        self.bound: object = None
+
+    def take(self, weight: float, bound: object = None) -> tuple[int, bool]:
+        fresh, self.bound = bound != self.bound, bound
+        if fresh:
+            self.open = False
+        if bound is None:
+            return super().take(weight)
+        self.run += fresh
+        return self.run, True
+
+
 class Batcher:
     """Starts a new batch when the next item would make too many items or too many bytes."""
 
@@ -49,22 +66,24 @@ class Batcher:
         return self.run, False
 
 
-def runs(df: DataFrame, group: str, order: list[str], weight: str, make) -> DataFrame:
+def runs(df: DataFrame, group: str, order: list[str], weight: str, make, also: str | None = None) -> DataFrame:
     """df with run_no (bigint, from 1 in each group) and run_ended (whether the row itself closes its run).
 
-    make builds the fold of a group. Null weights count as 0; a null group is a group. order must be total.
+    make builds the fold of a group; also names a further column it is given. Null weights count as 0; a null group is a group.
+    order must be total.
     """
     schema = df.select(*df.columns, F.lit(0).cast("long").alias("run_no"), F.lit(False).alias("run_ended")).schema
-    place, heavy = df.columns.index(group), df.columns.index(weight)
+    place, heavy, third = df.columns.index(group), df.columns.index(weight), None if also is None else df.columns.index(also)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for batch in batches:
             numbers, ends = [], []
-            for g, w in zip(batch.column(place).to_pylist(), batch.column(heavy).to_pylist(), strict=True):
+            more = [()] * batch.num_rows if third is None else [(x,) for x in batch.column(third).to_pylist()]
+            for g, w, x in zip(batch.column(place).to_pylist(), batch.column(heavy).to_pylist(), more, strict=True):
                 if state is None or g != now:
                     now, state = g, make()
-                number, end = state.take(0.0 if w is None or math.isnan(w) else float(w))
+                number, end = state.take(0.0 if w is None or math.isnan(w) else float(w), *x)
                 numbers.append(number)
                 ends.append(end)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(ends, pa.bool_())], [*batch.schema.names, "run_no", "run_ended"])

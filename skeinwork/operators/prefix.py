@@ -23,7 +23,8 @@ def running_sum(df: DataFrame, group: list[str], slot: Column, order: list[Colum
     """
     rows = df.withColumn("_slot", slot).withColumn("_value", value)
     totals = rows.groupBy(*group, "_slot").agg(F.sum("_value").alias("_total"))
-    sums = F.sum("_total").over(Window.partitionBy(*group).orderBy("_slot")) - F.col("_total")
+    # of the slots before alone: infinite values must not be taken away again
+    sums = F.coalesce(F.sum("_total").over(Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_slot").alias("_s"), sums.alias("_before"))
     within = F.sum("_value").over(Window.partitionBy(*group, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     same = F.col("_slot").eqNullSafe(F.col("_s"))

@@ -88,7 +88,7 @@ def test_json_helpers(spark):
     for _ in range(12):
         deep = f"[{deep}]"
     assert "nested value omitted" in one(spark, deep, text.sanitized_json)
-    assert one(spark, "the key\n k3y failed", lambda c: text.redacted(c, F.lit("k3y"))) == "the key [redacted] failed"
+    assert one(spark, "the key\n k3y failed", lambda c: text.redacted(c, F.lit("k3y"))) == "the key [REDACTED] failed"
 
 
 def test_scores(spark):
@@ -109,3 +109,43 @@ def test_limits_and_waits(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(scoring.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, None, None, None]
+
+
+def test_what_a_model_sees_of_a_tool():
+    deep = {"k": {"k": {"k": {"k": {"k": {"k": {"k": {"k": {"k": {"k": 1}}}}}}}}}}
+    shown = text.trimmed_value(deep)
+    for _ in range(8):
+        shown = shown["k"]
+    assert shown == {"k": text.NESTED_MARK} and deep["k"]["k"]["k"]["k"]["k"]["k"]["k"]["k"]["k"] == {"k": 1}
+    assert text.trimmed_value(["data:x", {"u": "data:,y"}, "plain", None, 1.5]) == [text.DATA_URL_MARK, {"u": text.DATA_URL_MARK}, "plain", None, 1.5]
+    nested = 1
+    for _ in range(5_000):
+        nested = [nested]
+    assert text.compact_json(text.trimmed_value(nested)) == "[" * 9 + '"' + text.NESTED_MARK + '"' + "]" * 9
+    assert text.shown_state({"output": "long", "time": {"compacted": 5}})["output"] == text.CLEARED_MARK
+    assert text.shown_state({"output": "long", "time": {"compacted": True}})["output"] == "long"
+    assert text.compact_json({"a": 1.0, "b": [2.5]}) == '{"a":1,"b":[2.5]}'
+
+
+def test_weights_of_tools_and_files():
+    assert text.tool_weight_of(None) == text.tool_weight_of("{not json") == 4
+    assert text.tool_weight_of('{"status": "completed", "attachments": [{"mime": "image/png"}]}') == len('{"status":"completed","attachments":[{"mime":"image/png"}]}') + 32_000
+    assert text.tool_weight_of('{"status": "running", "attachments": [{"mime": "image/png"}]}') == len('{"status":"running","attachments":[{"mime":"image/png"}]}')
+    assert text.tool_weight_of('{"status": "completed", "attachments": [7]}') == float("inf")
+    assert text.tool_weight_of('"\U0001f600"') == 4
+
+
+@pytest.mark.parametrize(
+    ("mime", "url", "size", "tokens"),
+    [("image/png", None, None, 8000.0), ("text/plain", None, None, float("inf")), ("text/plain", "https://x.example/,y", None, float("inf")), (None, "data:text/plain,ä€", 5, 8000.0), ("a/b", "data:a/b;base64," + "A" * 40_001, 30_001, 15_001.0), ("a/b", "data:nothing", None, float("inf"))],
+)
+def test_media(spark, mime, url, size, tokens):
+    df = spark.createDataFrame([(mime, url)], "m string, u string")
+    r = df.select(text.data_url_bytes(F.col("u")).alias("size"), text.media_tokens(F.col("m"), F.col("u")).alias("tokens")).first()
+    assert (r["size"], r["tokens"]) == (size, tokens) and text.media_tokens_of({"mime": mime, "url": url}) == tokens
+
+
+def test_json_of_a_kind(spark):
+    df = spark.createDataFrame([("[1]",), ('{"a": 1}',), ('"x"',), ("3",), ("true",), ("{bad",), (None,)], "t string")
+    for kind, at in (("array", 0), ("object", 1), ("string", 2), ("number", 3), ("boolean", 4)):
+        assert [n for n, r in enumerate(df.select(text.typed_json(F.col("t"), kind).alias("v")).collect()) if r["v"] is not None] == [at], kind

@@ -219,3 +219,80 @@ def test_numbers_of_a_group_that_spans_partitions(spark):
         held[g] = held.get(g, 0) + 1
         assert got[g, i] == held[g]
     assert prefix.numbered(df.limit(0), "g", ["i"], "n").count() == 0
+
+
+def bound_rows(spark, rows):
+    return spark.createDataFrame([("s", *r) for r in rows], "session_id string, id string, start_id string, end_id string, version int, eligible boolean")
+
+
+def test_packing_goes_around_stored_bounds(spark):
+    """A chosen bound is one closed segment however heavy; what lies between is packed and closed, only the end may be open."""
+    t = turn_rows(spark, [4, 4, 9, 9, 4, 4, 4])
+    got = conv.segments(t, 10, bound_rows(spark, [("b", "u3", "u4", 1, True)])).sort("segment_no").collect()
+    assert [(r["start_id"], r["end_id"], r["weight"], r["closed"]) for r in got] == [("u1", "u2", 8.0, True), ("u3", "u4", 18.0, True), ("u5", "u6", 8.0, True), ("u7", "u7", 4.0, False)]
+    end = conv.segments(t, 10, bound_rows(spark, [("b", "u6", "u7", 1, True), ("c", "u1", "u1", 0, False)])).sort("segment_no").collect()
+    assert [(r["start_id"], r["end_id"], r["closed"]) for r in end] == [("u1", "u1", True), ("u2", "u2", True), ("u3", "u3", True), ("u4", "u4", True), ("u5", "u5", True), ("u6", "u7", True)]
+
+
+@pytest.mark.parametrize(
+    ("rows", "kept"),
+    [
+        ([("z", "u1", "u2", 0, False), ("a", "u2", "u3", 0, False)], {"z"}),  # equal but for the key, in which the earlier start comes first
+        ([("z", "u1", "u2", 0, False), ("a", "u2", "u3", 0, True)], {"a"}), ([("z", "u1", "u2", 0, False), ("a", "u2", "u3", 1, False)], {"a"}),
+        ([("x", "u1", "u4", 0, False), ("p", "u1", "u2", 9, True), ("q", "u3", "u4", 9, True)], {"p", "q"}), ([("m", "u1", "u2", 1, True), ("k", "u1", "u2", 1, True)], {"k"}), ([(None, "u1", "u2", 1, True)], {None}),
+    ],
+)
+def test_ties_between_plans_of_bounds(spark, rows, kept):
+    assert {r["id"] for r in conv.reconcile(turn_rows(spark, [1] * 4), bound_rows(spark, rows)).collect()} == kept
+
+
+def test_plans_equal_trying_all(spark):
+    rng = random.Random(6)
+    rows = []
+    for n in range(11):
+        a, z = sorted((rng.randint(1, 9), rng.randint(1, 9)))
+        rows.append((f"b{n}", f"u{a}", f"u{z}", rng.randint(0, 2), rng.random() < 0.5))
+    best = None
+    for mask in range(1 << len(rows)):
+        plan = sorted((r for n, r in enumerate(rows) if mask >> n & 1), key=lambda r: r[1])
+        if all(p[2] < q[1] for p, q in zip(plan, plan[1:])):
+            value = (sum(int(r[2][1:]) - int(r[1][1:]) + 1 for r in plan), sum(r[4] for r in plan), sum(r[3] for r in plan))
+            key = "|".join(f"{r[1]}:{r[2]}:{r[0]}" for r in plan)
+            if best is None or value > best[0] or (value == best[0] and key < best[1]):
+                best = (value, key, {r[0] for r in plan})
+    assert {r["id"] for r in conv.reconcile(turn_rows(spark, [1] * 9), bound_rows(spark, rows)).collect()} == best[2]
+
+
+PARTS = "array<struct<type: string, text: string, tool: string, filename: string, mime: string, ignored: boolean, synthetic: boolean, state: string, url: string, metadata: string>>"
+
+
+def message(i, role, at, parent=None, error=None, parts=()):
+    base = {"type": "text", "text": None, "tool": None, "filename": None, "mime": None, "ignored": None, "synthetic": None, "state": None, "url": None, "metadata": None}
+    return (i, "s", role, parent, error, [base | p for p in parts], T0 + dt.timedelta(seconds=at), T0)
+
+
+def message_rows(spark, rows):
+    return spark.createDataFrame(rows, f"message_id string, session_id string, role string, parent_id string, error_name string, parts {PARTS}, time_created timestamp, time_updated timestamp")
+
+
+def test_turns_weigh_tools_and_skip_notices_and_compactions(spark):
+    notice = conv.Notice("content was lost", "memory", "loss", 1)
+    mark = {"text": "content was lost", "synthetic": False, "ignored": False, "metadata": '{"memory": {"version": 1, "type": "loss"}}'}
+    rows = [
+        message("u1", "user", 0, parts=[{"text": "hi"}]), message("a1", "assistant", 1, "u1", parts=[{"type": "tool", "tool": "ls", "state": '{"status": "completed", "output": "ok", "time": {"compacted": 3}}'}]),
+        message("c1", "user", 2, parts=[{"type": "compaction"}]), message("n1", "user", 3, parts=[mark]), message("n2", "user", 4, parts=[mark | {"metadata": '{"memory": {"version": 1, "type": "loss", "more": 1}}'}]),
+        message("n3", "user", 5, parts=[mark, {"text": "and this"}]), message("a2", "assistant", 6, "n1", parts=[{"text": "dropped"}]), message("u2", "user", 7, parts=[{"type": "file", "mime": "a/b", "url": "data:a/b,x"}]),
+    ]
+    got = {r["user_message_id"]: (r["weight"], r["messages"]) for r in conv.turns(message_rows(spark, rows), notice).collect()}
+    state = '{"status":"completed","output":"[Old tool result content cleared]","time":{"compacted":3}}'
+    assert got == {"u1": (2.0 + 2 + len(state), 2), "n2": (16.0, 1), "n3": (24.0, 1), "u2": (32_000.0, 1)}
+
+
+def test_messages_of_a_bound_come_back(spark):
+    rows = [
+        message("u1", "user", 0, parts=[{"text": "one"}]), message("u2", "user", 1, parts=[{"text": "two"}]), message("a1", "assistant", 2, "u1", parts=[{"text": "late answer"}]), message("a2", "assistant", 3, "u2", error="X", parts=[{"text": "failed"}]),
+        message("u3", "user", 4, parts=[{"text": "three"}]), message("lost", "assistant", 5, "gone", parts=[{"text": "nowhere"}]),
+    ]
+    bounds = spark.createDataFrame([("s", "u1", "u2"), ("s", "u3", "u3"), ("s", "u3", "u1"), ("s", "u1", "x")], "session_id string, start_id string, end_id string")
+    got = [(r["start_id"], r["end_id"], r["place"], r["message_id"], r["text"], r["problem"]) for r in conv.read_back(message_rows(spark, rows), bounds).collect()]
+    assert sorted(got, key=str) == sorted([("u1", "u2", 1, "u1", "one", None), ("u1", "u2", 2, "u2", "two", None), ("u1", "u2", 3, "a1", "late answer", None), ("u3", "u3", 1, "u3", "three", None), ("u3", "u1", None, None, None, "reversed"), ("u1", "x", None, None, None, "missing")], key=str)
