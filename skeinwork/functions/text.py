@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from skeinwork.functions.scoring import CHARS_PER_TOKEN, MEDIA_TOKENS
 
@@ -206,14 +206,53 @@ def media_tokens_of(part: object) -> float:
     return float(max(MEDIA_TOKENS, -(-size // 2)))
 
 
+def attachment_tokens_of(value: object) -> float:
+    """Media tokens of the attachments of a completed tool's state that was not compacted; 0 for any other."""
+    if isinstance(value, dict) and value.get("status") == "completed" and not _compacted(value) and isinstance(value.get("attachments"), list):
+        return float(sum(media_tokens_of(a) for a in value["attachments"]))
+    return 0.0
+
+
 def tool_weight_of(state: str | None) -> float:
-    """UTF-16 units of a tool's shown state as JSON, and four for each token of the attachments of a completed one."""
+    """UTF-16 units of a tool's shown state as JSON, and four for each token of its attachments."""
     value = _parsed(state)
     shown = compact_json(shown_state(value))
-    weight = float(len(shown) + sum(c > "\uffff" for c in shown))
-    if isinstance(value, dict) and value.get("status") == "completed" and not _compacted(value) and isinstance(value.get("attachments"), list):
-        weight += CHARS_PER_TOKEN * sum(media_tokens_of(a) for a in value["attachments"])
-    return weight
+    return len(shown) + sum(c > "\uffff" for c in shown) + CHARS_PER_TOKEN * attachment_tokens_of(value)
+
+
+@F.pandas_udf(StructType([StructField("bytes", LongType()), StructField("media", DoubleType())]))
+def tool_measures(state: pd.Series) -> pd.DataFrame:
+    """UTF-8 bytes of a tool's shown state as JSON, and the tokens of its attachments."""
+    values = [_parsed(t) for t in state]
+    return pd.DataFrame({"bytes": [len(compact_json(shown_state(v)).encode()) for v in values], "media": [attachment_tokens_of(v) for v in values]})
+
+
+# How much of a tool's output and of its attachments a record keeps.
+OUTPUT_MOST, ATTACHMENTS_MOST = 2_000, 10
+
+
+def tool_record_of(tool: str | None, state: str | None) -> tuple[str | None, bool, str | None]:
+    """(entry, whether something was cut, why something is missing) of an archived tool part."""
+    value = _parsed(state)
+    status = value.get("status") if isinstance(value, dict) else None
+    if tool is None or status not in ("completed", "error"):
+        return None, False, None if tool is None else "unfinished-tools"
+    given = compact_json(value.get("input"))
+    if status == "error":
+        told = str(value.get("error") or "unknown error")
+        return f"[Tool {tool} error] {given}\n{told[:OUTPUT_MOST]}", len(told) > OUTPUT_MOST, None
+    cleared, said = _compacted(value), value.get("output")
+    body = "[output was compacted]" if cleared else said[:OUTPUT_MOST] if isinstance(said, str) else ""
+    files = value.get("attachments") if isinstance(value.get("attachments"), list) else []
+    named = [(f["filename"][:500] if isinstance(f.get("filename"), str) else "unnamed attachment") + (f" ({f['mime'][:200]})" if isinstance(f.get("mime"), str) else "") for f in files[:ATTACHMENTS_MOST] if isinstance(f, dict)]
+    entry = f"[Tool {tool}] {given}\n{body or '[no text output]'}" + (f"\nAttachments: {', '.join(named)}" if named else "")
+    return entry, (not cleared and isinstance(said, str) and len(said) > OUTPUT_MOST) or len(files) > ATTACHMENTS_MOST, "archived-media" if files else None
+
+
+@F.pandas_udf(StructType([StructField("entry", StringType()), StructField("cut", BooleanType()), StructField("missing", StringType())]))
+def tool_record(tool: pd.Series, state: pd.Series) -> pd.DataFrame:
+    rows = [tool_record_of(t, s) for t, s in zip(tool, state, strict=True)]
+    return pd.DataFrame(rows, columns=["entry", "cut", "missing"]) if rows else pd.DataFrame({"entry": [], "cut": [], "missing": []})
 
 
 @F.pandas_udf(DoubleType())
