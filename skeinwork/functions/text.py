@@ -271,3 +271,8 @@ def typed_json(text: Column, kind: str) -> Column:
 def redacted(text: Column, secret: Column, most: int = 500) -> Column:
     """A message for the log: the secret replaced, white space collapsed, cut to size."""
     return F.left(collapse(F.when(secret != "", F.replace(text, secret, F.lit("[REDACTED]"))).otherwise(text)), F.lit(most))
+
+
+def iso_time(at: Column) -> Column:
+    """A time as ISO 8601 text in UTC with milliseconds."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))

@@ -80,3 +80,9 @@ def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 def first_spelling(names: DataFrame, by: str, name: str, normal: Column, order: list[str]) -> DataFrame:
     """(by, name, normal): of the spellings of one name that share a normal form the first."""
     return first_of(names.withColumn("normal", normal), [by, "normal"], [F.col(o) for o in order]).select(by, name, "normal")
+
+
+def still_valid(cache: DataFrame, current: DataFrame, key: list[str], mark: str) -> DataFrame:
+    """The cached rows whose mark is that of the current row of their key, or whose key has none now; a null mark equals a null."""
+    now = current.groupBy(*key).agg(F.max(F.struct(mark)).alias("_now"))
+    return cache.join(now, key, "left").where(F.col("_now").isNull() | F.col(f"_now.{mark}").eqNullSafe(F.col(mark))).select(*cache.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.operators import conversation as conv
 from skeinwork.operators import folding, prefix
 from skeinwork.session import read
+from skeinwork.sources import readers
 
 #: A limit that most sessions reach, beside the standard one.
 SMALL = 1_000
@@ -55,10 +56,28 @@ def segment_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as rows of their own, brought together again in order; messages without parts keep an empty list."""
-    m = conv.latest(_chat(spark, sf_dir))
-    parts = m.select("message_id", F.posexplode("parts").alias("place", "p")).select("message_id", "place", F.concat_ws(":", "p.type", F.coalesce("p.text", "p.tool", "p.filename")).alias("part"))
-    lists = parts.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("l")).select(F.col("message_id").alias("i"), F.col("l.part").alias("l"))
-    return m.join(lists, F.col("message_id") == F.col("i"), "left").select("session_id", "message_id", F.size(F.coalesce("l", F.array())).alias("n"), F.array_join(F.coalesce("l", F.array()), "|").alias("parts"))
+    m = conv.latest(_chat(spark, sf_dir)).select("session_id", F.col("message_id").alias("id"), "parts")
+    parts = m.select(F.col("id").alias("message_id"), F.posexplode("parts").alias("place", "p")).select("message_id", F.col("place").alias("id"), F.to_json(F.struct(F.concat_ws(":", "p.type", F.coalesce("p.text", "p.tool", "p.filename")).alias("part"))).alias("data"))
+    whole = readers.assembled(m.drop("parts"), parts, "part string")
+    return whole.select("session_id", F.col("id").alias("message_id"), F.size("parts").alias("n"), F.array_join("parts.part", "|").alias("parts"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns, and every third segment of an earlier run with a small limit, as bounds that were stored."""
+    t = conv.turns(_chat(spark, sf_dir))
+    bounds = conv.segments(t, SMALL).where("segment_no % 3 = 1").select("session_id", F.col("start_id").alias("id"), "start_id", "end_id", F.lit(1).alias("version"), F.lit(True).alias("eligible"))
+    return t, bounds
+
+
+def segment_pack_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing around stored bounds, with another limit than they were made with."""
+    t, bounds = _stored(spark, sf_dir)
+    return conv.segments(t, 2 * SMALL, bounds)
+
+
+def segment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of stored bounds in order."""
+    return conv.read_back(_chat(spark, sf_dir), _stored(spark, sf_dir)[1]).select("session_id", "start_id", "place", "message_id", "role", "text")
 
 
 def tail_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,4 +161,24 @@ r AS (SELECT session_id, i, sum(weight) OVER (PARTITION BY session_id ORDER BY i
 SELECT s.session_id, s.start_id, s.end_id, CASE WHEN problem IS NULL THEN z - a + 1 END AS turns, CASE WHEN problem IS NULL THEN p.upto - (q.upto - q.weight) END AS weight, problem
 FROM s LEFT JOIN r p ON p.session_id = s.session_id AND p.i = s.z LEFT JOIN r q ON q.session_id = s.session_id AND q.i = s.a"""
 
-QUERIES = {f.__name__: f for f in (turns_with_weights, visible_text, segment_pack, segment_pack_standard, boundary_reconcile, segment_read_back, messages_with_parts, tail_budget, latest_by_role, embedding_batches)}
+SQL["segment_pack_bounded"] = f"""WITH RECURSIVE {_LATEST}, a1 AS ({_packs(SMALL)}),
+t0 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY made, user_message_id) AS i FROM turns),
+s1 AS (SELECT session_id, start_id, end_id, segment_no FROM a1 WHERE segment_no % 3 = 1),
+k AS (SELECT s1.session_id, s1.segment_no AS b, x.i AS a, y.i AS z FROM s1 JOIN t0 x ON x.session_id = s1.session_id AND x.user_message_id = s1.start_id JOIN t0 y ON y.session_id = s1.session_id AND y.user_message_id = s1.end_id),
+t AS (SELECT t0.*, k.b FROM t0 LEFT JOIN k ON k.session_id = t0.session_id AND t0.i BETWEEN k.a AND k.z),
+f AS (SELECT session_id, user_message_id, i, weight, b, 1 AS run, weight AS size, b IS NOT NULL OR weight >= {2 * SMALL} AS ended FROM t WHERE i = 1
+      UNION ALL
+      SELECT n.session_id, n.user_message_id, n.i, n.weight, n.b, CASE WHEN fresh THEN run + 1 ELSE run END, CASE WHEN fresh THEN n.weight ELSE size + n.weight END,
+             n.b IS NOT NULL OR CASE WHEN fresh THEN n.weight ELSE size + n.weight END >= {2 * SMALL}
+      FROM (SELECT t.session_id, t.user_message_id, t.i, t.weight, t.b, f.run, f.size,
+                   t.b IS DISTINCT FROM f.b OR (t.b IS NULL AND (f.ended OR f.size + t.weight > {2 * SMALL})) AS fresh FROM f JOIN t ON t.session_id = f.session_id AND t.i = f.i + 1) n),
+p AS (SELECT session_id, run, arg_min(user_message_id, i) AS start_id, arg_max(user_message_id, i) AS end_id, count(*) AS turns, sum(weight) AS weight, bool_or(ended) AS ended FROM f GROUP BY ALL)
+SELECT session_id, run::BIGINT AS segment_no, start_id, end_id, turns, weight, ended OR run < max(run) OVER (PARTITION BY session_id) AS closed FROM p"""
+SQL["segment_messages"] = f"""WITH RECURSIVE {_LATEST}, a1 AS ({_packs(SMALL)}),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY made, user_message_id) AS i FROM turns),
+k AS (SELECT s.session_id, s.start_id, x.i AS a, y.i AS z FROM a1 s JOIN n x ON x.session_id = s.session_id AND x.user_message_id = s.start_id JOIN n y ON y.session_id = s.session_id AND y.user_message_id = s.end_id WHERE segment_no % 3 = 1),
+said AS (SELECT session_id, message_id, role, time_created, CASE WHEN role = 'user' THEN message_id ELSE parent_id END AS opener, coalesce({_TEXT}, '') AS text FROM seen WHERE shown AND role IN ('user', 'assistant'))
+SELECT k.session_id, k.start_id, row_number() OVER (PARTITION BY k.session_id, k.start_id ORDER BY said.time_created, said.message_id)::INT AS place, said.message_id, said.role, said.text
+FROM k JOIN n ON n.session_id = k.session_id AND n.i BETWEEN k.a AND k.z JOIN said ON said.session_id = n.session_id AND said.opener = n.user_message_id"""
+
+QUERIES = {f.__name__: f for f in (turns_with_weights, visible_text, segment_pack, segment_pack_standard, boundary_reconcile, segment_pack_bounded, segment_messages, segment_read_back, messages_with_parts, tail_budget, latest_by_role, embedding_batches)}

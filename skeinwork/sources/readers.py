@@ -28,11 +28,30 @@ def jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None
     return reader.load()
 
 
-def assembled(messages: DataFrame, parts: DataFrame) -> DataFrame:
-    """messages (id, ...) with the list of their parts (message_id, id, data) in order of id; an empty list where there are none."""
-    lists = parts.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("id", "data"))).alias("p")).select("message_id", F.col("p.data").alias("parts"))
+def lookup(df: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows of a few keys. The list reaches the scan, which skips row groups without any of them."""
+    return df.where(F.col(key).isin(values))
+
+
+def newest_first(sessions: DataFrame, at: str = "time_created", key: str = "id") -> DataFrame:
+    """Sessions from the newest on, of one time the greater key first; those without a time come last."""
+    return sessions.orderBy(F.col(at).desc_nulls_last(), F.desc(key))
+
+
+def in_order(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Rows of each group together and in order (messages of sessions, parts of messages), without a global sort."""
+    return rows.repartition(group).sortWithinPartitions(group, *order)
+
+
+def assembled(messages: DataFrame, parts: DataFrame, schema: str | None = None) -> DataFrame:
+    """messages (id, ...) with the list of their parts (message_id, id, data) in order of id; an empty list where there are none.
+
+    With a schema, data is parsed as JSON of that shape; what is no such JSON becomes a null in its place.
+    """
+    data = F.col("data") if schema is None else F.from_json("data", schema)
+    lists = parts.select("message_id", F.struct("id", data.alias("data")).alias("s")).groupBy("message_id").agg(F.array_sort(F.collect_list("s")).alias("p")).select("message_id", F.col("p.data").alias("parts"))
     joined = messages.join(lists, messages["id"] == lists["message_id"], "left").drop("message_id")
-    return joined.withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+    return joined.withColumn("parts", F.coalesce("parts", F.array().cast(lists.schema["parts"].dataType)))
 
 
 def pretty(df: DataFrame) -> DataFrame:
