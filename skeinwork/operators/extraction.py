@@ -35,12 +35,15 @@ Embedder = Callable[[list[str]], np.ndarray]
 #: Bytes of one text to embed, at most.
 INPUT_BYTES = 30_000
 
-_RULE = re.compile(r"\b(?:The|the|Our|our) ([a-z]+ [a-z]+) (reads|keeps|needs|counts|loses|skips|writes|merges|rebuilds|ignores|returns|drops) ([^.,;!?\n]{3,80})")
+#: Items and bytes of one call of an embedder, at most.
+BATCH_ITEMS, BATCH_BYTES = 128, 100_000
 
+_CLAUSE = re.compile(r"\b(?:[Tt]he|[Oo]ur|[Tt]his|[Tt]hat|[Ee]very|[Aa]n?) ((?:[a-z][a-z-]+ ){1,3}?)([a-z]{2,}(?:s|ed)) ((?:[^\s.,;!?]+ ?){1,14})(?=[.,;!?\n]|$)")
 
-def rules(texts: list[str]) -> list[list[Claim]]:
-    """Default extractor: "the <two words> <verb> <rest of the clause>"."""
-    return [[{"subject": s, "predicate": p, "confidence": 0.5, "object_entity": None, "object_value": o.strip()} for s, p, o in _RULE.findall(t)] for t in texts]
+
+def clauses(texts: list[str]) -> list[list[Claim]]:
+    """Default extractor: "<article> <one to three words> <word in -s or -ed> <rest of the clause>", by shape alone."""
+    return [[{"subject": s.strip(), "predicate": p, "confidence": 0.5, "object_entity": None, "object_value": o.strip()} for s, p, o in _CLAUSE.findall(t)] for t in texts]
 
 
 def hashed_grams(texts: list[str], dim: int = 64) -> np.ndarray:
@@ -54,6 +57,23 @@ def hashed_grams(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def batches_of(texts: list[str], items: int = BATCH_ITEMS, most: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Texts in order in lists that one call of an embedder may hold."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        n = len(t.encode())
+        if n > INPUT_BYTES:
+            raise ValueError(f"a text to embed has more than {INPUT_BYTES} bytes")
+        if held and (len(held) == items or size + n > most):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += n
+    if held:
+        yield held
+
+
 def embedded(df: DataFrame, column: str, embedder: Embedder = hashed_grams, name: str = "embedding") -> DataFrame:
     """df with a vector of each text; null texts get none, texts over the input limit are an error."""
     at = df.columns.index(column)
@@ -62,16 +82,13 @@ def embedded(df: DataFrame, column: str, embedder: Embedder = hashed_grams, name
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(at).to_pylist()
-            given = [v for v in values if v is not None]
-            if any(len(v.encode()) > INPUT_BYTES for v in given):
-                raise ValueError(f"a text to embed has more than {INPUT_BYTES} bytes")
-            vectors = iter(embedder(given).tolist() if given else [])
+            vectors = iter([v for part in batches_of([v for v in values if v is not None]) for v in embedder(part).tolist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if v is None else next(vectors) for v in values], pa.list_(pa.float32()))], [*batch.schema.names, name])
 
     return df.mapInArrow(run, "struct<" + schema + ">")
 
 
-def proposed(requests: DataFrame, extractor: Extractor = rules) -> DataFrame:
+def proposed(requests: DataFrame, extractor: Extractor = clauses) -> DataFrame:
     """(segment_id, index, claim columns): all that the extractor proposes for each segment, in order."""
     joined = requests.where("segment_id is not null").select("segment_id", F.coalesce(F.array_join("messages.text", "\n", ""), F.lit("")).alias("t")).groupBy("segment_id").agg(F.max("t").alias("t"))
     schema = "segment_id string, index int, subject string, predicate string, confidence double, object_entity string, object_value string"
@@ -85,6 +102,45 @@ def proposed(requests: DataFrame, extractor: Extractor = rules) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def mentions(claims: DataFrame) -> DataFrame:
+    """(segment_id, index, mention_id, role, text, supporting_claim, embed_text) of each claim's subject, and its object if that is an entity.
+
+    mention_id is `c<index>.subject` or `c<index>.object`; embed_text is the name with the claim it stands in.
+    """
+    shown = F.concat_ws(" | ", "subject", "predicate", F.coalesce("object_entity", "object_value"))
+    ends = F.array_compact(F.array(F.struct(F.lit("subject").alias("role"), F.col("subject").alias("text")), F.when(F.col("object_entity").isNotNull(), F.struct(F.lit("object").alias("role"), F.col("object_entity").alias("text")))))
+    rows = claims.select("segment_id", "index", shown.alias("supporting_claim"), F.explode(ends).alias("e"))
+    return rows.select("segment_id", "index", F.concat(F.lit("c"), "index", F.lit("."), "e.role").alias("mention_id"), "e.role", "e.text", "supporting_claim", F.concat("e.text", F.lit("\n"), "supporting_claim").alias("embed_text"))
+
+
+def decided(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The claims (segment_id, index, ...) that decisions (segment_id, index, action) say to keep, under the number they were proposed with."""
+    kept = decisions.where("action = 'keep'").select("segment_id", "index").distinct()
+    return claims.join(kept, ["segment_id", "index"], "left_semi")
+
+
+def by_mention(claims: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """claims with subject_entity_id and object_entity_id as resolved for their mentions: resolutions (segment_id, mention_id, entity_id)."""
+    one = resolutions.groupBy("segment_id", "mention_id").agg(F.min("entity_id").alias("entity_id"))
+    for role in ("subject", "object"):
+        side = one.where(F.col("mention_id").endswith(f".{role}")).select("segment_id", F.regexp_extract("mention_id", r"^c(\d+)\.", 1).cast("int").alias("index"), F.col("entity_id").alias(f"{role}_entity_id"))
+        claims = claims.join(side, ["segment_id", "index"], "left")
+    return claims
+
+
+def merged_entities(made: DataFrame) -> DataFrame:
+    """(id, canonical_name, description, aliases): new entities (id, seq, canonical_name, description, aliases), each once.
+
+    The first by seq gives name and description; aliases of all are joined, of one normal form the first spelling, and none
+    that is the name itself.
+    """
+    first = made.groupBy("id").agg(F.min(F.struct("seq", "canonical_name", "description")).alias("f")).select("id", "f.canonical_name", "f.description")
+    each = made.select("id", "seq", F.posexplode("aliases").alias("n", "alias")).where("alias is not null").withColumn("order", F.struct("seq", "n"))
+    once = tables.first_spelling(each, "id", "alias", text.normalize_name(F.col("alias")), ["order", "alias"]).join(first.select("id", text.normalize_name(F.col("canonical_name")).alias("own")), "id").where("normal <> own")
+    lists = once.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("normal", "alias"))).alias("l")).select("id", F.col("l.alias").alias("aliases"))
+    return first.join(lists, "id", "left").select("id", "canonical_name", "description", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
 def prepared(claims: DataFrame, known: DataFrame, embedder: Embedder = hashed_grams) -> tuple[DataFrame, DataFrame]:
     """(claims, entities) ready for a commit.
 

@@ -18,4 +18,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _MODULES for k, v in m.SQL.items()} | {"stream_change_fold": changes.SQL["p5_found"]}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()} | {"stream_change_fold": changes.SQL["p5_found"], "stream_keyed_state": changes.LAST_CHANGE}

@@ -41,4 +41,7 @@ SQL = {
     "p5_tombstones": _FOLDED + "SELECT segment_id, g AS source_generation, a::BIGINT AS attempts FROM last WHERE kind = 2",
 }
 
+#: The last change of each segment, and what it did.
+LAST_CHANGE = _FOLDED + "SELECT segment_id, g AS source_generation, a::BIGINT AS attempts, CASE WHEN kind = 2 THEN 'deleted' ELSE 'set' END AS outcome FROM last"
+
 QUERIES = {"p5_found": p5_found, "p5_tombstones": p5_tombstones}

@@ -11,6 +11,7 @@ from skeinwork.operators import changefeed
 from skeinwork.session import cut, read, shared_folder
 from skeinwork.sources.snapshots import Snapshots
 from skeinwork.streaming import events as ev
+from skeinwork.streaming import keyed
 
 _AS_OF = "2024-01-20 00:00:00"
 
@@ -67,6 +68,26 @@ def stream_change_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live
 
 
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed read as a stream into keyed state: the last change of each segment, and whether it deleted it."""
+    root = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, keyed.PROVIDER)
+    try:
+        feed = spark.readStream.schema(read(spark, sf_dir, "job_changes").schema).parquet(f"{sf_dir}/job_changes.parque[t]")
+        told = keyed.latest(feed, "segment_id", ["source_generation", "attempts"], "source_fingerprint")
+        sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        told.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    done = spark.read.schema("key string, first long, second long, value string, outcome string").parquet(f"{root}/out").where("outcome <> 'late'")
+    last = done.groupBy("key").agg(F.max(F.struct("first", "second", "outcome")).alias("s"))
+    out = cut(last.select(F.col("key").alias("segment_id"), F.col("s.first").alias("source_generation"), F.col("s.second").alias("attempts"), F.col("s.outcome").alias("outcome")))
+    Snapshots(spark, root).remove(root)
+    return out
+
+
 _WINDOWS = """SELECT w AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT *, unnest({}) AS w FROM events) GROUP BY ALL"""
 
 SQL = {
@@ -81,4 +102,4 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTES AS "end", count(
     "event_properties": "SELECT event_type, count(json_extract(props, '$.k')) AS with_k, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS sum_k FROM events GROUP BY event_type",
 }
 
-QUERIES = {f.__name__: f for f in (session_gap_windows, inactive_sessions, hourly_windows, sliding_windows, event_dedupe, latest_desired, event_properties, stream_change_fold)}
+QUERIES = {f.__name__: f for f in (session_gap_windows, inactive_sessions, hourly_windows, sliding_windows, event_dedupe, latest_desired, event_properties, stream_change_fold, stream_keyed_state)}

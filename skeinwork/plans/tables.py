@@ -29,6 +29,13 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.union(near, recall.nearest(q, items, 64, candidates.EACH))
 
 
+def described_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates by name with the entity's name and its aliases in order of their normal form."""
+    e = read(spark, sf_dir, "entity_candidates")
+    found = candidates.described(candidates.by_trigrams(_mentions(spark, sf_dir), candidates.entity_names(e)), e)
+    return found.select("query", "id", "place", "canonical_name", F.array_join("aliases", "|").alias("aliases"))
+
+
 def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "mentions").select("text", text.normalize_name(F.col("text")).alias("normal")).distinct()
 
@@ -141,6 +148,14 @@ def not_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.join(newest, (F.col("segment_id") == F.col("s")) & (F.col("newest") > F.col("changed_at")), "left_anti").select("change_no", "segment_id")
 
 
+def fingerprint_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints that the first change of each segment gave and that still are those of its latest generation."""
+    j = read(spark, sf_dir, "job_changes").where("source_generation is not null")
+    first = tables.first_of(j, ["segment_id"], [F.col("change_no")]).select("segment_id", "source_fingerprint")
+    last = tables.first_of(j, ["segment_id"], [F.desc("source_generation"), F.desc("attempts"), F.desc("change_no")]).where("change_no % 5 <> 0").select("segment_id", "source_fingerprint")
+    return tables.still_valid(first, last, ["segment_id"], "source_fingerprint")
+
+
 def changed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes whose fingerprint is distinct, null-safely, from that of the segment's change before."""
     w = Window.partitionBy("segment_id").orderBy("change_no")
@@ -202,6 +217,10 @@ vec AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY list_do
 b AS (SELECT query, id, place, 0 AS r FROM tri UNION ALL SELECT query, id, place, 1 FROM vec WHERE place <= 5),
 o AS (SELECT query, id, min((r, place)) AS m FROM b GROUP BY ALL)
 SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY m)::INT AS place, CASE WHEN m[1] = 0 THEN 'name' ELSE 'vector' END AS source FROM o""",
+    "described_candidates": f"""WITH {_TRIGRAMS},
+a AS (SELECT id, unnest(aliases) AS alias FROM entity_candidates), n AS (SELECT id, alias, replace(lower({_SPACED.format('alias')}), 'ß', 'ss') AS normal FROM a WHERE alias IS NOT NULL),
+l AS (SELECT id, string_agg(alias, '|' ORDER BY normal, alias) AS aliases FROM n GROUP BY id)
+SELECT query, tri.id, place::INT AS place, canonical_name, coalesce(l.aliases, '') AS aliases FROM tri JOIN entity_candidates e ON e.id = tri.id LEFT JOIN l ON l.id = tri.id""",
     "normalize_names": f"SELECT DISTINCT text, replace(lower({_SPACED.format('text')}), 'ß', 'ss') AS normal FROM mentions",
     "predicate_normalize": r"""SELECT predicate, trim(regexp_replace(lower(regexp_replace(regexp_replace(replace(predicate, '_', ' '), '([A-Z]{3,})([A-Z][a-z]{2,})', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')), '\s+', ' ', 'g')) AS normal,
 length(trim(predicate)) BETWEEN 1 AND 500 AND NOT contains(predicate, '_') AND NOT regexp_matches(predicate, '[a-z][A-Z]') AS natural FROM (SELECT DISTINCT predicate FROM claims)""",
@@ -231,6 +250,10 @@ FROM w FULL JOIN a ON w.segment_id = a.segment_id WHERE a.segment_id IS NULL OR
 source_generation DESC NULLS LAST, attempts DESC, change_no DESC) AS rn FROM job_changes) WHERE rn = 1""",
     "generation_numbers": "SELECT segment_id, change_no, row_number() OVER (PARTITION BY segment_id ORDER BY change_no)::INT AS number, max(source_generation) OVER (PARTITION BY segment_id) AS highest FROM job_changes",
     "not_superseded": "SELECT change_no, segment_id FROM job_changes f WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM job_changes n WHERE n.segment_id = f.segment_id AND n.status <> 'failed' AND n.changed_at > f.changed_at)",
+    "fingerprint_cache": """WITH j AS (SELECT * FROM job_changes WHERE source_generation IS NOT NULL),
+f AS (SELECT segment_id, source_fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY change_no) AS rn FROM j) WHERE rn = 1),
+l AS (SELECT segment_id, source_fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY source_generation DESC, attempts DESC NULLS LAST, change_no DESC) AS rn FROM j) WHERE rn = 1 AND change_no % 5 <> 0)
+SELECT f.segment_id, f.source_fingerprint FROM f LEFT JOIN l ON l.segment_id = f.segment_id WHERE l.segment_id IS NULL OR l.source_fingerprint IS NOT DISTINCT FROM f.source_fingerprint""",
     "changed_fingerprints": "SELECT segment_id, change_no FROM (SELECT *, lag(source_fingerprint) OVER (PARTITION BY segment_id ORDER BY change_no) AS b FROM job_changes) WHERE source_fingerprint IS DISTINCT FROM b",
     "segment_listing": """WITH r AS (SELECT DISTINCT session_id, segment_id, 'request' AS kind, created_at, projection_version AS version, NULL::BIGINT AS source_generation FROM segment_requests),
 j AS (SELECT DISTINCT segment_id, 'change' AS kind, changed_at AS created_at, source_generation FROM job_changes),
@@ -247,7 +270,7 @@ count(*) AS segments, sum(n)::BIGINT AS messages FROM r GROUP BY 1""",
 QUERIES = {
     f.__name__: f
     for f in (
-        trigram_candidates, candidate_union, normalize_names, predicate_normalize, text_lengths, copied_identifiers, unsupported_identifiers, mention_explode, tagged_objects, alias_dedupe, upsert_merge, replace_partition,
-        cascade_delete, superseded_delete, orphan_entities, validation_violations, coverage_gaps, latest_target, generation_numbers, not_superseded, changed_fingerprints, segment_listing, prior_segments, segment_status_counts, edge_support,
+        trigram_candidates, candidate_union, described_candidates, normalize_names, predicate_normalize, text_lengths, copied_identifiers, unsupported_identifiers, mention_explode, tagged_objects, alias_dedupe, upsert_merge, replace_partition,
+        cascade_delete, superseded_delete, orphan_entities, validation_violations, coverage_gaps, latest_target, generation_numbers, not_superseded, fingerprint_cache, changed_fingerprints, segment_listing, prior_segments, segment_status_counts, edge_support,
     )
 }
