@@ -67,6 +67,11 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def counted_small(df: DataFrame, row_bytes: int = 128, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The same by an exact count of rows of at most so many bytes; for what is cheap to count, as rows that were checkpointed."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows ahead of a costly pass in Python, dealt to all cores where the scan has fewer partitions than that; no shuffle otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
