@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators.prefix import numbered
-from skeinwork.session import cut, small
+from skeinwork.session import counted_small, cut, small
 
 ABORTED = "MessageAbortedError"
 SLOT_S = 3_600
@@ -107,10 +107,10 @@ def inferred(m: DataFrame, replies: DataFrame) -> DataFrame:
     Of equal scores the nearest in time counts, then the later. A reply without a time stands before all questions; replies
     of a session without a question have no row.
     """
-    lost = replies.where("parent is null").select("message_id")
-    shown = m.join(lost, "message_id", "left_semi").select("session_id", "message_id", "at", F.lit(False).alias("asks"), "said")
-    where = shown.select(F.col("session_id").alias("_s")).distinct()
-    asked = m.where("role = 'user'").join(small(where), F.col("session_id").eqNullSafe(F.col("_s")), "left_semi").select("session_id", "message_id", "at", F.lit(True).alias("asks"), "said")
+    lost = replies.where("parent is null")
+    # texts stay where they are: what they are looked up by is broadcast if it is few rows
+    shown = m.join(counted_small(lost.select("message_id")), "message_id", "left_semi").select("session_id", "message_id", "at", F.lit(False).alias("asks"), "said")
+    asked = m.where("role = 'user'").join(counted_small(lost.select(F.col("session_id").alias("_s")).distinct()), F.col("session_id").eqNullSafe(F.col("_s")), "left_semi").select("session_id", "message_id", "at", F.lit(True).alias("asks"), "said")
     rows = cut(shown.unionByName(asked).select("session_id", "message_id", "at", "asks", _tokens(F.col("said"), _NAMES).alias("names"), _tokens(F.col("said"), _PLAIN).alias("words")))
     near = _neighbours(rows.select("session_id", F.explode(F.concat(F.array(F.lit("")), "names")).alias("token"), "at", "asks", "message_id"))
     offered = near.groupBy("message_id", "parent").agg(F.max("side").alias("side"))
