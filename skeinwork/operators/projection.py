@@ -274,14 +274,16 @@ def project(rows: DataFrame, summaries: DataFrame, context: int, given: int | No
     behind = prefix.running_sum(prefix.running_sum(prefix.running_sum(inside.where("seen"), ["session_id"], -day, [F.desc("at"), F.desc("message_id")], F.col("bytes"), "b"), ["session_id"], -day, [F.desc("at"), F.desc("message_id")], F.lit(1), "n"), ["session_id"], -day, [F.desc("at"), F.desc("message_id")], F.col("media"), "w")
     tail = starts.join(behind.select("session_id", F.col("message_id").alias("start_id"), "b", "n", "w"), ["session_id", "start_id"]).withColumn("tail_tokens", _estimate(F.col("b"), F.col("n"), F.col("w")))
     target = F.coalesce(F.min(F.when(F.col("tail_tokens") <= lim["target"], F.col("segment_no"))).over(Window.partitionBy("session_id")), F.max("segment_no").over(Window.partitionBy("session_id")))
-    left = cut(tail.withColumn("from_no", target).where("segment_no >= from_no").drop("from_no"))
     reserve = min(RESERVED_TOKENS, context // 10)
+    frame = len('{"role":"user","parts":[]}') + len('{"role":"assistant","parts":[]}') + len('{"type":"text","text":}') + 2
+    # a start whose tail leaves no room even without a summary is out before any summary is built
+    could = 2 * _estimate(F.col("b") + frame, F.col("n"), F.col("w")) + reserve < lim["threshold"]
+    left = cut(tail.withColumn("from_no", target).where("segment_no >= from_no").where(could).drop("from_no"))
     done = None
     while not left.isEmpty():
         first = left.groupBy("session_id").agg(F.min("segment_no").alias("segment_no"))
         chosen = left.join(first, ["session_id", "segment_no"])
         made = archives(inside, chosen.select("session_id", "segment_no", "start_id"), packed, summaries, ctx)
-        frame = len('{"role":"user","parts":[]}') + len('{"role":"assistant","parts":[]}') + len('{"type":"text","text":}') + 2
         text = F.octet_length(F.to_json(F.struct(F.col("summary_text").alias("t")))) - len('{"t":}')
         tried = cut(made.join(chosen.select("session_id", "start_id", "b", "n", "w"), "session_id").withColumn("tokens_after", (2 * _estimate(F.col("b") + frame + text, F.col("n"), F.col("w")) + reserve).cast("double")))
         fits = tried.where(F.col("tokens_after") < lim["threshold"])
